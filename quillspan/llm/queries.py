@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import capping, encoding, near_duplicates, neighbours, packing, splitting
+from quillspan.llm import capping, encoding, mojibake, near_duplicates, neighbours, packing, scans, splitting, subjects
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,10 +22,22 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(chunks)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged_rows(_table(spark, d, "segments"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored_texts(_table(spark, d, "segments"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.results_over_cap(_table(spark, d, "search_results"), _table(spark, d, "manifest"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.page_noise(_table(spark, d, "ocr_pages"))
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(_table(spark, d, "source_chunks"), shingle=3, similarity=0.7, least_words=20)
 
@@ -53,7 +65,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(_table(spark, d, "documents"), _table(spark, d, "subjects"), _table(spark, d, "subject_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_groups, p6_found, p7_ids, p8_containers)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p4_found, p5_found, p5_groups, p6_found, p7_ids, p8_containers, p9_found)
 }
 ORACLE: dict[str, str] = {}
