@@ -30,9 +30,10 @@ from quillspan.plans.lineage import stored
 DIMENSIONS = 64
 PROJECTIONS = 6
 CONFIDENCE = 0.8
-CELL_ROWS = 24_576
-#: The tree is fitted on so many sampled rows per cell, and has so many cells at most.
-SAMPLE_PER_CELL, MOST_CELLS = 256, 4_096
+#: Rows of a worker's cell; small collections get up to FEW_CELLS cells of fewer rows.
+CELL_ROWS, FEWEST_ROWS, FEW_CELLS = 131_072, 8_192, 8
+#: Fine leaves of the tree in a cell, sampled rows a leaf on which it is fitted, and the most cells.
+_FINE, SAMPLE_PER_LEAF, MOST_CELLS = 128, 16, 1_024
 SEED = 20_011
 _LEAF = 384
 
@@ -250,15 +251,14 @@ class _Cells(NamedTuple):
     high: np.ndarray
 
 
-_FINE = 32
 
 
 def _fit(vectors: DataFrame, n: int, dimensions: int, projections: int) -> _Cells:
-    cells = 1 << max(0, math.ceil(math.log2(max(1, n / CELL_ROWS))))
-    cells = min(cells, MOST_CELLS)
+    wanted = max(n / CELL_ROWS, min(FEW_CELLS, n / FEWEST_ROWS), 1)
+    cells = min(1 << math.ceil(math.log2(wanted)), MOST_CELLS)
     fine = cells * _FINE
     g = directions(dimensions, projections)
-    want = cells * SAMPLE_PER_CELL * 4
+    want = fine * SAMPLE_PER_LEAF
     share = min(1.0, want / max(1, n))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,7 +340,7 @@ def nearest_vectors(vectors: DataFrame, k: int, dimensions: int = DIMENSIONS, pr
     guests = first.select(F.explode("visits").alias("cell"), "vid", "vector", "worst")
     # a cell with very many guests is searched in several tasks, each with a copy of the cell
     crowd = guests.groupBy("cell").count().collect()  # a row per cell, at most MOST_CELLS
-    parts = {r["cell"]: max(1, -(-r["count"] // (6 * CELL_ROWS))) for r in crowd}
+    parts = {r["cell"]: max(1, -(-r["count"] // (2 * CELL_ROWS))) for r in crowd}
     table = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else None
     if table is not None:
         shares = F.coalesce(table[F.col("cell")], F.lit(1))
@@ -382,9 +382,9 @@ def similar_rows(rows: DataFrame, k: int = 5, key: str = "chunk_id", embedding:
     vectors = table.filter(F.col("vector").isNotNull()).select("vid", "vector")
     found = stored(nearest_vectors(vectors, k, dimensions, confidence=confidence), "nearest")
     members = table.select("vid", F.col("key").alias("member")).distinct()
-    # k + 1 first members of every vector, enough for any neighbour list
+    # k + 2 first members of every vector: a list that isn't full has all of them
     order = F.row_number().over(Window.partitionBy("vid").orderBy("member"))
-    few = members.withColumn("o", order).filter(F.col("o") <= k + 1).groupBy("vid").agg(F.array_sort(F.collect_list("member")).alias("few"))
+    few = members.withColumn("o", order).filter(F.col("o") <= k + 2).groupBy("vid").agg(F.array_sort(F.collect_list("member")).alias("few"))
     few = stored(few, "members")
     flat = found.select("vid", F.explode("found").alias("f")).select("vid", F.col("f.similarity").alias("similarity"), F.col("f.nid").alias("nid"))
     others = (
@@ -393,8 +393,12 @@ def similar_rows(rows: DataFrame, k: int = 5, key: str = "chunk_id", embedding:
         .agg(F.flatten(F.collect_list(F.expr("transform(few, m -> struct(-similarity as s, m as m))"))).alias("o"))
         .select("vid", F.slice(F.array_sort("o"), 1, k).alias("others"))
     )
-    lists = few.join(others, "vid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mine = members.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(lists, ["vid", "salt"])
+    all_known = few.filter(F.size("few") <= k + 1).join(others, "vid", "left").withColumn("member", F.explode("few"))
+    # a vector with more members than that has its members' neighbours among them
+    many = few.filter(F.size("few") > k + 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = members.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(many, ["vid", "salt"])
+    empty = F.lit(None).cast(others.schema["others"].dataType)
+    mine = all_known.select("member", "few", "others").unionByName(copies.select("member", "few", empty.alias("others")))
     chosen = F.expr(f"slice(concat(transform(filter(few, m -> m <> member), m -> struct(-1.0f as s, m as m)), coalesce(others, array())), 1, {k})")
     return mine.select(F.col("member").alias(key), F.posexplode(chosen).alias("place", "n")).select(
         key, F.col("n.m").alias("neighbour"), (-F.col("n.s")).cast("double").alias("similarity"), (F.col("place") + 1).alias("place")
