@@ -31,7 +31,7 @@ DIMENSIONS = 64
 PROJECTIONS = 6
 CONFIDENCE = 0.8
 #: Rows of a worker's cell; small collections get up to FEW_CELLS cells of fewer rows.
-CELL_ROWS, FEWEST_ROWS, FEW_CELLS = 131_072, 8_192, 8
+CELL_ROWS, FEWEST_ROWS, FEW_CELLS = 131_072, 8_192, 4
 #: Fine leaves of the tree in a cell, sampled rows a leaf on which it is fitted, and the most cells.
 _FINE, SAMPLE_PER_LEAF, MOST_CELLS = 128, 16, 1_024
 SEED = 20_011
