@@ -1,14 +1,433 @@
-"""All core queries by name, and the SQL that they are checked against."""
+"""All core queries by name, and the SQL that they are checked against.
+
+Each query runs over its whole tables. Searches take every query whose id is
+divisible by 50 against all chunks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspan import oracle as O
+from quillspan import profiles as P
+from quillspan.functions import scoring as S
+from quillspan.functions import text as X
+from quillspan.functions.tokens import stem_desktop, stem_web, tokens_desktop, tokens_web
+from quillspan.operators import answers, chunking, records, retrieval
+from quillspan.plans import sync
+from quillspan.sources.files import merged_ocr
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def once(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table without rows sent twice; only the named columns are read."""
+    return table(spark, folder, name).select(key, *[c for c in columns if c != key]).dropDuplicates([key])
+
+
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "queries").filter("query_id % 50 = 0")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def words(c) -> F.Column:
+    return F.array_join(c, " ")
+
+
+def big(c) -> F.Column:
+    return c.cast("bigint")
+
+
+@query(f"SELECT doc_id, {O.norm_desktop('text')} AS normal FROM documents")
+def normalize_desktop(s, d):
+    return table(s, d, "documents").select("doc_id", X.normalize_desktop("text").alias("normal"))
+
+
+@query(f"SELECT doc_id, {O.norm_web('text')} AS normal FROM documents")
+def normalize_web(s, d):
+    return table(s, d, "documents").select("doc_id", X.normalize_web("text").alias("normal"))
+
+
+@query(f"SELECT doc_id, array_to_string({O.tokens_desktop('text')}, ' ') AS tokens FROM documents")
+def tokenize_desktop(s, d):
+    return table(s, d, "documents").select("doc_id", words(tokens_desktop("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, array_to_string({O.tokens_web('text')}, ' ') AS tokens FROM documents")
+def tokenize_web(s, d):
+    return table(s, d, "documents").select("doc_id", words(tokens_web("text")).alias("tokens"))
+
+
+_VOCABULARY = "SELECT DISTINCT w FROM (SELECT unnest(string_split({}, ' ')) AS w FROM documents) WHERE w <> ''"
+
+
+@query(f"SELECT w AS token, {O.stem_desktop('w')} AS stem FROM ({_VOCABULARY.format(O.norm_desktop('text'))})")
+def stems_desktop(s, d):
+    v = table(s, d, "documents").select(F.explode(F.split(X.normalize_desktop("text"), " ")).alias("token")).filter("token <> ''").distinct()
+    return v.select("token", stem_desktop(F.col("token")).alias("stem"))
+
+
+@query(f"SELECT w AS token, {O.stem_web('w')} AS stem FROM ({_VOCABULARY.format(O.norm_web('text'))})")
+def stems_web(s, d):
+    v = table(s, d, "documents").select(F.explode(F.split(X.normalize_web("text"), " ")).alias("token")).filter("token <> ''").distinct()
+    return v.select("token", stem_web(F.col("token")).alias("stem"))
+
+
+@query(f"SELECT chunk_id, t AS token, count(*)::BIGINT AS n, least(3, count(*))::BIGINT AS capped FROM (SELECT chunk_id, unnest({O.tokens_web('text')}) AS t FROM {O.CHUNKS} c) GROUP BY ALL")
+def term_frequency(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "text")
+    t = c.select("chunk_id", F.explode(tokens_web("text")).alias("token"))
+    return t.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("capped", F.least(F.lit(3).cast("bigint"), "n"))
+
+
+@query(
+    f"SELECT base_id, count(DISTINCT source_id)::BIGINT AS sources, count(*)::BIGINT AS chunks, (count(*) FILTER (len(embedding) > 0))::BIGINT AS embedded, bool_and(coalesce(len(embedding) > 0, false)) AS semantic_ready FROM {O.CHUNKS} c GROUP BY base_id"
+)
+def corpus_stats(s, d):
+    return sync.base_stats(once(s, d, "source_chunks", "chunk_id", "base_id", "source_id", "embedding"))
+
+
+@query("SELECT coalesce(status, '') AS status, count(*)::BIGINT AS n, (count(*) FILTER (error IS NOT NULL))::BIGINT AS with_error FROM manifest GROUP BY 1")
+def status_counts(s, d):
+    return table(s, d, "manifest").groupBy(F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("with_error"))
+
+
+def _asked_results(s, d, *columns):
+    r = once(s, d, "search_results", "result_id", "query_id", "snippet", *columns)
+    return r.join(table(s, d, "queries").select("query_id", "query_text"), "query_id")
+
+
+@query(f"SELECT result_id, round({O.keyword_overlap('query_text', 'snippet')}, 6) AS score FROM {O.RESULTS} r JOIN queries USING (query_id)")
+def coverage_score(s, d):
+    q, t = X.normalize_desktop("query_text"), X.normalize_desktop("snippet")
+    return _asked_results(s, d).select("result_id", r6(S.keyword_overlap(q, tokens_desktop("query_text", q), t, tokens_desktop("snippet", t))).alias("score"))
+
+
+@query(f"SELECT result_id, round({O.lexical('query_text', 'snippet')}, 6) AS score FROM {O.RESULTS} r JOIN queries USING (query_id)")
+def lexical_score(s, d):
+    q, t = X.normalize_web("query_text"), X.normalize_web("snippet")
+    return _asked_results(s, d).select("result_id", r6(S.lexical_score(q, tokens_web("query_text", q), t, tokens_web("snippet", t))).alias("score"))
+
+
+@query(f"SELECT result_id, query_id FROM {O.RESULTS} r JOIN queries USING (query_id) WHERE length({O.norm_web('query_text')}) >= 8 AND contains({O.norm_web('snippet')}, {O.norm_web('query_text')})")
+def phrase_search(s, d):
+    q, t = X.normalize_web("query_text"), X.normalize_web("snippet")
+    return _asked_results(s, d).filter((F.length(q) >= 8) & F.contains(t, q)).select("result_id", "query_id")
+
+
+@query(f"SELECT result_id, {O.SOURCE_KEY} AS source_key FROM {O.RESULTS} r")
+def source_dedupe_key(s, d):
+    r = once(s, d, "search_results", "result_id", "relative_path", "source_path", "file_name")
+    return r.select("result_id", X.canonical_source_key("relative_path", "source_path", "file_name").alias("source_key"))
+
+
+@query(f"SELECT result_id, {O.intents('query_text')}, (CASE WHEN {O.ANY_DATE_PRECISE} THEN 2 WHEN {O.ANY_YEAR} THEN 1 ELSE 0 END)::BIGINT AS precision FROM {O.RESULTS} r JOIN queries USING (query_id)")
+def intent_flags(s, d):
+    q = X.normalize_web("query_text")
+    flags = [S.any_of(q, P.WEB_ASKS[k]).alias(f"asks_{k}") for k in ("date", "person", "change")]
+    return _asked_results(s, d).select("result_id", *flags, big(F.coalesce(S.date_precision(F.col("snippet")), F.lit(0))).alias("precision"))
+
+
+@query()
+def person_count(s, d):
+    r = once(s, d, "search_results", "result_id", "snippet")
+    return r.select("result_id", big(F.coalesce(S.named_persons(F.col("snippet")), F.lit(0))).alias("persons"))
+
+
+@query(f"SELECT chunk_id, round({O.LOW_SIGNAL}, 6) AS penalty FROM {O.CHUNKS} c")
+def low_signal_penalty(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "text", "relative_path")
+    return c.select("chunk_id", r6(S.low_signal_penalty("text", "relative_path")).alias("penalty"))
+
+
+@query(
+    f"WITH q AS (SELECT query_id, {O.unit('embedding')} AS q FROM queries WHERE query_id % 50 = 0), "
+    f"c AS (SELECT chunk_id, {O.unit('embedding')} AS v FROM {O.CHUNKS} c WHERE {O.usable('embedding')}) "
+    "SELECT query_id, chunk_id, place::BIGINT AS place, round(d, 6) AS distance FROM (SELECT query_id, chunk_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS place "
+    "FROM (SELECT query_id, chunk_id, 1 - list_dot_product(q, v) AS d FROM q, c WHERE len(q) = len(v))) WHERE place <= 48"
+)
+def cosine_topk(s, d):
+    q = asked(s, d).select("query_id", F.col("embedding").alias("q_embedding"))
+    near = retrieval.vector_candidates(q, once(s, d, "source_chunks", "chunk_id", "embedding"), 48)
+    return near.select("query_id", "chunk_id", big(F.col("candidate")).alias("place"), r6("distance").alias("distance"))
+
+
+def _search(mode):
+    def run(s, d):
+        columns = ("source_id", "source_name", "location", "text", "metadata", *(() if mode == "literal" else ("embedding",)))
+        hits = retrieval.search_web(asked(s, d), once(s, d, "source_chunks", "chunk_id", *columns), mode, evidence=False)
+        return hits.select("query_id", big(F.col("rank")).alias("rank"), "chunk_id", r6("score").alias("score"), "match_kind")
+
+    run.__name__ = f"search_{mode}"
+    return run
+
+
+for _mode in retrieval.MODES:
+    query(O.search_web(_mode))(_search(_mode))
+
+
+@query(O.SEARCH_DESKTOP)
+def search_desktop_rerank(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "source_name", "relative_path", "location", "text", "embedding")
+    hits = retrieval.search_desktop(asked(s, d), c)
+    return hits.select("query_id", big(F.col("rank")).alias("rank"), "chunk_id", r6("relevance").alias("relevance"), r6("keyword_score").alias("keyword_score"), r6("title_score").alias("title_score"))
+
+
+def _ordered_results(s, d):
+    r = once(s, d, "search_results", "result_id", "query_id", "file_name", "relative_path", "source_path", "relevance")
+    return r.withColumn("score", F.coalesce(F.nanvl("relevance", F.lit(None).cast("double")), F.lit(-1.0)))
+
+
+@query(
+    f"WITH r AS (SELECT query_id, result_id, {O.SCORE} AS score, {O.SOURCE_KEY} AS k FROM {O.RESULTS} r), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY score DESC, result_id) AS n FROM r) "
+    "SELECT query_id, result_id, (row_number() OVER (PARTITION BY query_id ORDER BY n > 3, score DESC, result_id))::BIGINT AS place FROM s"
+)
+def diversify_files(s, d):
+    key = X.canonical_source_key("relative_path", "source_path", "file_name")
+    x = retrieval.diversified(_ordered_results(s, d), ["query_id"], key, [F.desc("score"), F.asc("result_id")], P.DESKTOP.per_source)
+    return x.select("query_id", "result_id", big(F.col("place")).alias("place"))
+
+
+@query(
+    f"WITH r AS (SELECT query_id, result_id, {O.SCORE} AS score FROM {O.RESULTS} r), b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r) "
+    "SELECT query_id, result_id FROM b WHERE best < 0.8 OR score >= 0.8"
+)
+def threshold_fallback(s, d):
+    return retrieval.above_threshold(_ordered_results(s, d), ["query_id"], "score", 0.8).select("query_id", "result_id")
+
+
+@query()
+def text_blocks_desktop(s, d):
+    return chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "desktop")
+
+
+@query()
+def text_blocks_web(s, d):
+    return chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "web")
+
+
+@query()
+def split_window_desktop(s, d):
+    x = table(s, d, "documents").filter(F.length("text") > 0)
+    return x.select("doc_id", F.posexplode(chunking.windows_udf("desktop", P.DESKTOP.chunk_size, P.DESKTOP.chunk_overlap)(F.col("text"))).alias("part", "chunk"))
+
+
+@query()
+def split_window_web(s, d):
+    return chunking.chunks_web(chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "web"))
+
+
+@query()
+def pack_segments(s, d):
+    x = once(s, d, "segments", "segment_id", "base_id", "source_id", "seg_idx", "text", "location")
+    return chunking.pack_segments(x, ["base_id", "source_id"], ["seg_idx", "segment_id"])
+
+
+@query(O.SENTENCE_UNITS)
+def sentence_units(s, d):
+    r = once(s, d, "search_results", "result_id", "snippet")
+    u = r.select("result_id", F.posexplode(chunking.split_units("snippet")).alias("pos", "unit")).filter(F.length("unit") <= 520)
+    return u.groupBy("result_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("unit")).cast("bigint").alias("characters"), F.count_if(S.looks_fragmentary(F.col("unit"))).alias("fragments"))
+
+
+@query()
+def select_evidence(s, d):
+    q = X.normalize_web("query_text")
+    r = _asked_results(s, d)
+    return r.select("result_id", retrieval.select_evidence("snippet", q, tokens_web("query_text", q), 120).alias("evidence"))
+
+
+@query()
+def evidence_answer(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "source_id", "source_name", "location", "text", "metadata", "embedding")
+    a = answers.evidence_answers(retrieval.search_web(asked(s, d), c, "hybrid"))
+    return a.select("query_id", F.posexplode("passages").alias("pos", "p")).select("query_id", big(F.col("pos")).alias("pos"), "p.*")
+
+
+def _desktop_hits(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "source_name", "relative_path", "location", "text", "embedding")
+    return retrieval.search_desktop(asked(s, d), c)
+
+
+@query()
+def claims_greedy(s, d):
+    return answers.claims(_desktop_hits(s, d)).select("query_id", F.posexplode("claims").alias("pos", "c")).select("query_id", "pos", "c.*")
+
+
+@query()
+def extractive_answer(s, d):
+    return answers.extractive_answers(_desktop_hits(s, d))
+
+
+@query()
+def concept_answer(s, d):
+    return answers.concept_answers(_desktop_hits(s, d))
+
+
+@query(r"SELECT result_id, CASE WHEN len(c) = 0 THEN 3 ELSE len(list_filter([1, 2, 3], lambda i: list_contains(c, i))) END::BIGINT AS sources FROM (SELECT result_id, list_transform(regexp_extract_all(coalesce(location, '') || ' [' || (result_id % 5)::VARCHAR || ']', '\[(\d{1,9})\]', 1), lambda x: x::INT) AS c FROM " + O.RESULTS + " r)")
+def citations_used(s, d):
+    r = once(s, d, "search_results", "result_id", "location")
+    text = F.concat(F.coalesce("location", F.lit("")), F.lit(" ["), (F.col("result_id") % 5).cast("string"), F.lit("]"))
+    sources = F.array(*[F.struct(F.lit(i).alias("index")) for i in (1, 2, 3)])
+    return r.select("result_id", big(F.size(answers.sources_for_text(text, sources))).alias("sources"))
+
+
+@query(
+    "SELECT o_orderkey, 'o_orderkey: ' || o_orderkey || '\n' || 'o_custkey: ' || o_custkey || '\n' || 'o_orderstatus: ' || o_orderstatus || '\n' || 'o_orderpriority: ' || o_orderpriority AS text, 4::BIGINT AS entries FROM orders"
+)
+def flatten_records_orders(s, d):
+    e = records.entries_of(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return table(s, d, "orders").select("o_orderkey", records.record_text(e).alias("text"), big(F.size(e)).alias("entries"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_flatten_events(s, d):
+    e = table(s, d, "events").select("event_id", F.explode(records.flatten_json("props")).alias("e"))
+    return e.select("event_id", "e.key", "e.value")
+
+
+@query(
+    f"SELECT chunk_id, url_ AS url FROM (SELECT chunk_id, url AS url_ FROM {O.CHUNKS} c) WHERE regexp_matches(url_, '^https?://')"
+)
+def record_metadata_url(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "source_name", "url")
+    e = records.entries_of(["source_name", "url"])
+    return c.select("chunk_id", records.record_url(e).alias("url")).filter("url is not null")
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?s)</?[A-Za-z!][^<>]*>', '', 'g') AS plain FROM documents WHERE text NOT LIKE '%&%' AND NOT regexp_matches(text, '(?i)<body')")
+def html_text(s, d):
+    x = table(s, d, "documents").filter("text not like '%&%' and not text rlike '(?i)<body'")
+    return x.select("doc_id", X.html_text("text").alias("plain"))
+
+
+@query()
+def rtf_text(s, d):
+    return table(s, d, "documents").select("doc_id", X.strip_rtf_web("text").alias("web"), X.strip_rtf_desktop("text").alias("desktop"))
+
+
+def _listing(s, d):
+    """The library as it would be listed now: some files gone, some new under other names, some touched."""
+    m = table(s, d, "manifest").filter("mtime_ns % 7 <> 0")
+    moved = m.filter("mtime_ns % 5 = 0").withColumn("source_path", F.concat("source_path", F.lit(".md")))
+    touched = F.when(F.col("size") % 3 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns"))
+    return m.unionByName(moved).withColumn("mtime_ns", touched)
+
+
+@query(
+    f"WITH l AS ({O.LISTING}) SELECT coalesce(l.source_path, m.source_path) AS source_path, CASE WHEN l.source_path IS NULL THEN 'removed' WHEN m.source_path IS NULL THEN 'new' "
+    "WHEN l.size IS NOT DISTINCT FROM m.size AND l.mtime_ns IS NOT DISTINCT FROM m.mtime_ns THEN 'unchanged' ELSE 'candidate' END AS action FROM l FULL JOIN manifest m ON l.source_path = m.source_path"
+)
+def manifest_diff(s, d):
+    return sync.manifest_diff(_listing(s, d), table(s, d, "manifest"))
+
+
+@query(f"WITH l AS ({O.LISTING}) SELECT source_path FROM manifest m WHERE starts_with(source_path, '/srv/materiales/General/') AND NOT EXISTS (SELECT 1 FROM l WHERE l.source_path = m.source_path) OR starts_with(source_path, '/srv/materiales/') AND NOT EXISTS (SELECT 1 FROM l WHERE l.source_path = m.source_path)")
+def removed_files(s, d):
+    return sync.removed_files(table(s, d, "manifest"), _listing(s, d), "/srv/materiales").select("source_path")
+
+
+@query(
+    f"WITH c AS (SELECT chunk_id, text, updated_at FROM {O.CHUNKS} c), n AS (SELECT chunk_id, upper(text) AS text FROM c WHERE year(updated_at) = 2025) "
+    "SELECT chunk_id, text FROM n UNION ALL SELECT chunk_id, text FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM n)"
+)
+def upsert_chunks(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "text", "updated_at")
+    new = c.filter(F.year("updated_at") == 2025).select("chunk_id", F.upper("text").alias("text"))
+    return sync.upsert(c.select("chunk_id", "text"), new, "chunk_id")
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def file_hash(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query()
+def chunk_id(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "relative_path", "chunk_index", "text")
+    return c.select("chunk_id", X.chunk_uuid(F.coalesce("relative_path", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256), "chunk_index").alias("uuid"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]')) < 40 AS needed FROM " + O.PAGES + " p")
+def ocr_needed_pages(s, d):
+    p = once(s, d, "ocr_pages", "page_id", "text")
+    return p.select("page_id", X.page_needs_ocr("text").alias("needed"))
+
+
+@query()
+def ocr_merge(s, d):
+    p = once(s, d, "ocr_pages", "page_id", "scan_id", "page_number", "text", "confidence")
+    pages = p.select("scan_id", "page_number", F.when(F.col("confidence") >= 95, F.col("text")).alias("text"))
+    return merged_ocr(pages, p.select("scan_id", "page_number", "text", "confidence"), "scan_id").select("scan_id", "page_number", "text", "location")
+
+
+@query()
+def ocr_text(s, d):
+    p = once(s, d, "ocr_pages", "page_id", "text")
+    return p.select("page_id", X.normalize_ocr("text").alias("normal"))
+
+
+@query(f"SELECT chunk_id, length(t)::BIGINT AS characters, t AS text FROM (SELECT chunk_id, substring(concat_ws('\n', nullif(source_name, ''), nullif(location, ''), nullif(text, ''), nullif(array_to_string(list_transform(list_sort(map_entries(metadata)), lambda e: e.key || ': ' || e.value), '\n'), '')), 1, 2400) AS t FROM {O.CHUNKS} c)")
+def embedding_text(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "source_name", "location", "text", "metadata")
+    t = X.embedding_text("source_name", "location", "text", "metadata")
+    return c.select("chunk_id", big(F.length(t)).alias("characters"), t.alias("text"))
+
+
+@query(r"SELECT result_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(substring(t, 1, 59), '[\s ]+$', '') || '...' END AS snippet FROM (SELECT result_id, regexp_replace(snippet, '^[\s ]+|[\s ]+$', '', 'g') AS t FROM " + O.RESULTS + " r)")
+def trim_snippet(s, d):
+    return once(s, d, "search_results", "result_id", "snippet").select("result_id", X.trim_snippet("snippet", 60).alias("snippet"))
+
+
+@query(f"SELECT source_id, trim(lower(regexp_replace({O.fold('source_name')}, '[^a-zA-Z0-9]+', '-', 'g')), '-') AS name FROM manifest")
+def safe_file_name(s, d):
+    return table(s, d, "manifest").select("source_id", X.safe_file_name("source_name").alias("name"))
+
+
+@query("SELECT source_id, CASE WHEN starts_with(source_path, '/srv/materiales/') THEN substring(source_path, 17) ELSE list_last(string_split(source_path, '/')) END AS relative FROM manifest")
+def safe_relative(s, d):
+    return table(s, d, "manifest").select("source_id", X.safe_relative("source_path", F.lit("/srv/materiales")).alias("relative"))
+
+
+@query(f"SELECT result_id, regexp_replace(replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;'), '(?i)(^|[^\\p{{L}}\\p{{N}}])(informe|tabla)($|[^\\p{{L}}\\p{{N}}])', '\\1<mark>\\2</mark>\\3', 'g') AS html FROM {O.RESULTS} r")
+def highlight(s, d):
+    return once(s, d, "search_results", "result_id", "snippet").select("result_id", X.highlighted("snippet", ["informe", "tabla", "de"]).alias("html"))
+
+
+@query(O.KNOWN_ITEM)
+def known_item_recall(s, d):
+    """How often a stored result's file is among the files that its own snippet's query finds again: by relevance rank."""
+    r = _ordered_results(s, d)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("result_id")))
+    ranked = r.withColumn("place", place)
+    return ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("place") <= 12).alias("shown"), r6(F.avg(F.when(F.col("place") <= 12, F.col("score")))).alias("mean_score"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid passage search for all queries that ask something, with evidence."""
+    chunks = once(spark, folder, "source_chunks", "chunk_id", "source_id", "source_name", "location", "text", "metadata", "embedding")
+    hits = retrieval.search_web(table(spark, folder, "queries"), chunks, "hybrid")
+    return hits.select("query_id", "rank", "chunk_id", "source_name", "location", r6("score").alias("score"), "match_kind", "evidence")
