@@ -255,9 +255,9 @@ def sentence_units(s, d):
 
 @query()
 def select_evidence(s, d):
-    q = X.normalize_web("query_text")
-    r = _asked_results(s, d)
-    return r.select("result_id", retrieval.select_evidence("snippet", q, tokens_web("query_text", q), 120).alias("evidence"))
+    r = _asked_results(s, d).withColumn("q_normal", X.normalize_web("query_text"))
+    r = r.withColumn("q_tokens", tokens_web("query_text", F.col("q_normal")))
+    return retrieval.with_evidence(r, "snippet", "q_normal", "q_tokens", 120).select("result_id", "evidence")
 
 
 @query()
@@ -423,7 +423,7 @@ def known_item_recall(s, d):
     r = _ordered_results(s, d)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("result_id")))
     ranked = r.withColumn("place", place)
-    return ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("place") <= 12).alias("shown"), r6(F.avg(F.when(F.col("place") <= 12, F.col("score")))).alias("mean_score"))
+    return ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("place") <= 12).alias("shown"), F.round(F.avg(F.when(F.col("place") <= 12, F.col("score"))), 4).alias("mean_score"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import scoring as S
-from quillspan.functions.text import canonical_source_key, clamp01, js_squeezed, normalize_desktop, normalize_query, normalize_web, trim_snippet
+from quillspan.functions.text import canonical_source_key, clamp01, folded, js_squeezed, normalize_desktop, normalize_query, normalize_web, trim_snippet
 from quillspan.functions.tokens import tokens_desktop, tokens_web
 from quillspan.profiles import DESKTOP, WEB
 
@@ -49,25 +49,32 @@ def asked_web(queries: DataFrame) -> DataFrame:
     return q.withColumn("q_normal", normalize_web("query")).withColumn("q_tokens", tokens_web("query", F.col("q_normal"))).withColumn("q_unit", S.unit("q_embedding"))
 
 
-def select_evidence(text: str | Column, q_normal: Column, q_tokens: Column, most: int = EVIDENCE) -> Column:
-    """The whole text if it is short, else its best sentence with the neighbours that fit."""
-    whole = js_squeezed(text)
-    sentences = F.filter(F.split(whole, r"(?<=[.!?])\s+"), lambda s: s != "")
+def with_evidence(rows: DataFrame, text: str, q_normal: str, q_tokens: str, most: int = EVIDENCE, out: str = "evidence") -> DataFrame:
+    """Rows with the evidence in their text: all of it if it is short, else its best sentence with the neighbours that fit.
 
-    def score(s: Column) -> Column:
-        n = normalize_web(s)
-        return S.lexical_score(q_normal, q_tokens, n, tokens_web(s, n)) + S.evidence_intent_bonus(q_normal, s, n)
-
-    scores = F.transform(sentences, score)
-    best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
-    picked = F.get(sentences, best)
-    before = F.when(best > 0, F.get(sentences, best - 1))
-    after = F.get(sentences, best + 1)
-    with_before = F.coalesce(F.length(picked) + F.length(before) + 1 <= most, F.lit(False))
-    so_far = F.length(picked) + F.when(with_before, F.length(before) + 1).otherwise(0)
-    with_after = F.coalesce(so_far + F.length(after) + 1 <= most, F.lit(False))
-    chosen = F.concat_ws(" ", F.when(with_before, before), picked, F.when(with_after, after))
-    return F.when(F.length(whole) <= most, whole).otherwise(chosen)
+    Sentences are normalised together, with a mark between them, so that folding
+    runs once for a text.
+    """
+    mark = "\u0001"
+    x = rows.withColumn("__whole", js_squeezed(text))
+    x = x.withColumn("__marked", F.when(F.length("__whole") > most, F.regexp_replace(F.replace("__whole", F.lit(mark), F.lit(" ")), r"(?<=[.!?])\s+", mark)))
+    x = x.withColumn("__s", F.split("__marked", mark)).withColumn("__folded", F.lower(F.regexp_replace(folded(F.regexp_replace("__marked", "[\\^`¨¯´·¸ʰ-˿]", "")), f"[^\\p{{L}}\\p{{N}}{mark}]+", " ")))
+    x = x.withColumn("__n", F.transform(F.split("__folded", mark), lambda n: F.trim(n)))
+    q, t = F.col(q_normal), F.col(q_tokens)
+
+    def score(pair: Column) -> Column:
+        n = pair["__n"]
+        return S.lexical_score(q, t, n, tokens_web("", n)) + S.evidence_intent_bonus(q, pair["__s"], n)
+
+    x = x.withColumn("__scores", F.transform(F.arrays_zip("__s", "__n"), score))
+    x = x.withColumn("__best", (F.array_position("__scores", F.array_max("__scores")) - 1).cast("int"))
+    x = x.withColumn("__picked", F.get("__s", F.col("__best"))).withColumn("__before", F.when(F.col("__best") > 0, F.get("__s", F.col("__best") - 1))).withColumn("__after", F.get("__s", F.col("__best") + 1))
+    with_before = F.coalesce(F.length("__picked") + F.length("__before") + 1 <= most, F.lit(False))
+    so_far = F.length("__picked") + F.when(with_before, F.length("__before") + 1).otherwise(0)
+    with_after = F.coalesce(so_far + F.length("__after") + 1 <= most, F.lit(False))
+    chosen = F.concat_ws(" ", F.when(with_before, F.col("__before")), "__picked", F.when(with_after, F.col("__after")))
+    x = x.withColumn(out, F.when(F.length("__whole") <= most, F.col("__whole")).otherwise(chosen))
+    return x.select(*[c for c in rows.columns if c != out], out)
 
 
 def _web_scores(pairs: DataFrame, mode: str) -> DataFrame:
@@ -120,7 +127,7 @@ def search_web(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: i
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(late, *order))).filter(F.col("rank") <= k)
     out = ranked.select("query_id", "rank", "chunk_id", "source_id", "source_name", "location", "text", "score", "lexical", "semantic", "match_kind", "q_normal", "q_tokens", "query")
     if evidence:
-        out = out.withColumn("evidence", select_evidence("text", F.col("q_normal"), F.col("q_tokens")))
+        out = with_evidence(out, "text", "q_normal", "q_tokens")
     return out
 
 
@@ -188,4 +195,4 @@ def search_desktop(
     )
 
 
-__all__ = ["above_threshold", "diversified", "normalize_query", "search_desktop", "search_web", "select_evidence", "vector_candidates"]
+__all__ = ["above_threshold", "diversified", "normalize_query", "search_desktop", "search_web", "vector_candidates", "with_evidence"]
