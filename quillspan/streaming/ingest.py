@@ -18,7 +18,7 @@ def watch_folder(spark: SparkSession, root: str, folder: str, checkpoint: str, o
 
     A file source reports additions only; changes and removals need ``sync_index``.
     """
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
     catalog = Catalog(spark, folder)
     base = root.rstrip("/")
 
