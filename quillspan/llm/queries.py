@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import capping, encoding, mojibake, near_duplicates, neighbours, packing, scans, splitting, subjects
+from quillspan.plans.lineage import stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.page_noise(_table(spark, d, "ocr_pages"))
 
 
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.page_paragraphs(_table(spark, d, "ocr_pages"))
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(_table(spark, d, "source_chunks"), shingle=3, similarity=0.7, least_words=20)
 
@@ -48,8 +53,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     members, pairs = _near(spark, d)
-    from quillspan.plans.lineage import stored
-
     return near_duplicates.near_duplicate_groups(members, stored(pairs, "pairs"))
 
 
@@ -69,7 +72,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(_table(spark, d, "documents"), _table(spark, d, "subjects"), _table(spark, d, "subject_labels"))
 
 
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.corpus_composition(_table(spark, d, "documents"), p9_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p4_found, p5_found, p5_groups, p6_found, p7_ids, p8_containers, p9_found)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p4_found, p4_paragraphs, p5_found, p5_groups, p6_found, p7_ids, p8_containers, p9_found, p9_composition)
 }
 ORACLE: dict[str, str] = {}

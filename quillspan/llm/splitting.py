@@ -167,8 +167,8 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     """All chunks, the oversized ones in pieces, numbered anew.
 
     Takes base_id, source_id, chunk_id, chunk_index, text and location; further
-    columns stay as they are, also under names used here. Adds chunk_part (from
-    1) and the piece's text, its location (``..., parte i`` if there are several
+    columns stay as they are. Adds chunk_part (from 1, in place of a column of
+    that name) and the piece's text, its location (``..., parte i`` if there are several
     parts; a null location gives ``parte i``) and chunk_index from 0 within
     source and base. Rows sent twice count once. A null or blank text stays one
     row with its text unchanged; an empty table gives an empty table.
@@ -199,5 +199,5 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     numbered = cut.withColumn("__inner", inner).alias("c").join(
         sums.alias("s"), F.expr("c.source_id <=> s.source_id and c.base_id <=> s.base_id and c.__bucket = s.__bucket")
     )
-    keep = [F.col(f"c.`{c}`") for c in chunks.columns if c != "chunk_index"] + [F.col("c.chunk_part")]
+    keep = [F.col(f"c.`{c}`") for c in chunks.columns if c not in ("chunk_index", "chunk_part")] + [F.col("c.chunk_part")]
     return numbered.select(*keep, (F.col("s.__before") + F.col("c.__inner") - 1).cast("int").alias("chunk_index"))

@@ -258,3 +258,9 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "subject": pd.Series(found, dtype=object)})
 
     return encoded.mapInPandas(assign, "doc_id bigint, subject string")
+
+
+def corpus_composition(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """(subject, source, lang, n): the make-up of the corpus; documents on no subject count under a null one."""
+    d = documents.select("doc_id", "source", "lang")
+    return d.join(found, "doc_id", "left").groupBy("subject", "source", "lang").agg(F.count(F.lit(1)).alias("n"))
