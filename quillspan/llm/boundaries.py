@@ -58,7 +58,7 @@ def _ends(line: str) -> bool:
 def _continues(line: str) -> bool:
     """Whether a line reads as the rest of a sentence begun above it."""
     first = line.lstrip(OPENING)[:1]
-    return first.islower() or first.isdigit() or first in ",;:)]"
+    return first.islower() or first in ",;:)]" or (first.isdigit() and not _NUMBERED.match(line))
 
 
 def _sentence_starts(block: str, base: int) -> list[int]:
