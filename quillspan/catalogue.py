@@ -417,9 +417,9 @@ def highlight(s, d):
     return once(s, d, "search_results", "result_id", "snippet").select("result_id", X.highlighted("snippet", ["informe", "tabla", "de"]).alias("html"))
 
 
-@query(O.KNOWN_ITEM)
-def known_item_recall(s, d):
-    """How often a stored result's file is among the files that its own snippet's query finds again: by relevance rank."""
+@query(O.RELEVANCE_SUMMARY)
+def relevance_summary(s, d):
+    """Per query: stored results, how many are shown, and their mean relevance."""
     r = _ordered_results(s, d)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("result_id")))
     ranked = r.withColumn("place", place)

@@ -171,7 +171,7 @@ SENTENCE_UNITS = (
     "FROM t WHERE length(u) BETWEEN 70 AND 520 GROUP BY result_id"
 )
 
-KNOWN_ITEM = (
+RELEVANCE_SUMMARY = (
     f"WITH r AS (SELECT query_id, {SCORE} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {SCORE} DESC, result_id) AS place FROM {RESULTS} r) "
     "SELECT query_id, count(*)::BIGINT AS results, (count(*) FILTER (place <= 12))::BIGINT AS shown, round(avg(score) FILTER (place <= 12), 4) AS mean_score FROM r GROUP BY query_id"
 )
