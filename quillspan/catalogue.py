@@ -219,12 +219,12 @@ def threshold_fallback(s, d):
     return retrieval.above_threshold(_ordered_results(s, d), ["query_id"], "score", 0.8).select("query_id", "result_id")
 
 
-@query()
+@query(O.TEXT_BLOCKS_DESKTOP)
 def text_blocks_desktop(s, d):
     return chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "desktop")
 
 
-@query()
+@query(O.TEXT_BLOCKS_WEB)
 def text_blocks_web(s, d):
     return chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "web")
 
@@ -324,7 +324,7 @@ def html_text(s, d):
     return x.select("doc_id", X.html_text("text").alias("plain"))
 
 
-@query()
+@query(O.RTF_TEXT)
 def rtf_text(s, d):
     return table(s, d, "documents").select("doc_id", X.strip_rtf_web("text").alias("web"), X.strip_rtf_desktop("text").alias("desktop"))
 
@@ -377,14 +377,14 @@ def ocr_needed_pages(s, d):
     return p.select("page_id", X.page_needs_ocr("text").alias("needed"))
 
 
-@query()
+@query(O.OCR_MERGE)
 def ocr_merge(s, d):
     p = once(s, d, "ocr_pages", "page_id", "scan_id", "page_number", "text", "confidence")
-    pages = p.select("scan_id", "page_number", F.when(F.col("confidence") >= 95, F.col("text")).alias("text"))
+    pages = p.select("scan_id", "page_number", F.when((F.col("confidence") >= 95) & ~F.isnan("confidence"), F.col("text")).alias("text"))
     return merged_ocr(pages, p.select("scan_id", "page_number", "text", "confidence"), "scan_id").select("scan_id", "page_number", "text", "location")
 
 
-@query()
+@query(O.OCR_TEXT)
 def ocr_text(s, d):
     p = once(s, d, "ocr_pages", "page_id", "text")
     return p.select("page_id", X.normalize_ocr("text").alias("normal"))

@@ -175,3 +175,42 @@ RELEVANCE_SUMMARY = (
     f"WITH r AS (SELECT query_id, {SCORE} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {SCORE} DESC, result_id) AS place FROM {RESULTS} r) "
     "SELECT query_id, count(*)::BIGINT AS results, (count(*) FILTER (place <= 12))::BIGINT AS shown, round(avg(score) FILTER (place <= 12), 4) AS mean_score FROM r GROUP BY query_id"
 )
+
+_JS = "[\\s\\x0b\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_PY = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_PY_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def _squeezed(c: str, blank: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '{blank}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _blocks(text: str, separator: str, body: str, word: str) -> str:
+    return (
+        f"WITH d AS (SELECT doc_id, regexp_split_to_array({text}, '{separator}') AS b FROM documents WHERE text IS NOT NULL), "
+        "u AS (SELECT doc_id, unnest(b) AS raw, unnest(range(len(b))) AS i FROM d), "
+        "l AS (SELECT doc_id, i, raw, 1 + coalesce(sum(length(raw) - length(replace(raw, chr(10), '')) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM u), "
+        f"t AS (SELECT doc_id, i, line, {body} AS text FROM l) "
+        f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS seg_idx, text, '{word}' || line::BIGINT AS location FROM t WHERE text <> ''"
+    )
+
+
+TEXT_BLOCKS_WEB = _blocks(f"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^{_JS}+|{_JS}+$', '', 'g')", "\\n[\\s\\x{a0}\\x{feff}]*\\n", _squeezed("raw", _JS), "línea ")
+TEXT_BLOCKS_DESKTOP = _blocks(
+    "regexp_replace(text, '\\r\\n?', chr(10), 'g')", "\\n\\n", f"array_to_string(list_filter(list_transform(regexp_split_to_array(raw, '{_PY_BREAK}'), lambda x: {_squeezed('x', _PY)}), lambda x: x <> ''), chr(10))", "linea "
+)
+
+_RTF = "regexp_replace(regexp_replace(text, '\\\\''[0-9a-fA-F]{2}', ' ', 'g'), '\\\\[a-zA-Z]+-?\\d* ?', ' ', 'g')"
+RTF_TEXT = (
+    f"SELECT doc_id, {_squeezed(f'regexp_replace({_RTF}, {chr(39)}[{{}}]{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})', _JS)} AS web, "
+    f"regexp_replace(replace(replace(replace({_RTF}, '\\{{', '{{'), '\\}}', '}}'), '\\\\', '\\'), '[{{}}]', ' ', 'g') AS desktop FROM documents"
+)
+OCR_TEXT = (
+    f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\\t\\x0b\\f\\r ]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_JS}+|{_JS}+$', '', 'g') AS normal FROM {PAGES} p"
+)
+_NORMAL_OCR = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\\t\\x0b\\f\\r ]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^" + _JS + "+|" + _JS + "+$', '', 'g')"
+OCR_MERGE = (
+    f"WITH p AS (SELECT scan_id, page_number, text, {_NORMAL_OCR} AS o, confidence >= 95 AND NOT isnan(confidence) AS own FROM {PAGES} p), "
+    "q AS (SELECT *, CASE WHEN own THEN text END AS t FROM p), r AS (SELECT *, len(regexp_extract_all(coalesce(t, ''), '[\\p{L}\\p{N}]')) < 40 AS poor FROM q), "
+    f"m AS (SELECT scan_id, page_number, CASE WHEN poor THEN nullif(o, '') ELSE {_squeezed('t', _JS)} END AS text, 'página ' || page_number || CASE WHEN poor THEN ' · OCR' ELSE '' END AS location FROM r) SELECT * FROM m WHERE text IS NOT NULL"
+)

@@ -40,6 +40,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` wrote in this process; for when their results have been written or read."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    return gone
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -49,4 +62,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
