@@ -40,7 +40,8 @@ WRONG_READINGS = (
     ("cp1251", "cp1252"), ("cp1253", "cp1252"), ("cp1250", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("cp866", "cp1251"),
 )
 
-_TOKEN = re.compile(r"[^ \t\r\n]+")
+#: Words; what goes on without a blank is taken in lengths that keep the search for runs short.
+_TOKEN = re.compile(r"[^ \t\r\n]{1,256}")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")

@@ -102,6 +102,22 @@ class _Batch(NamedTuple):
     rows: int
 
 
+#: Words whose topic shares are held at once, but for a document that has more.
+_AT_ONCE = 200_000
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in slices of at most so many words."""
+    for batch in batches:
+        words = np.cumsum([len(x) // 4 for x in batch["ids"]])
+        start = 0
+        while start < len(batch):
+            before = words[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(words, before + _AT_ONCE, side="right")))
+            yield batch.iloc[start:end].reset_index(drop=True)
+            start = end
+
+
 def _unpacked(batch: pd.DataFrame) -> _Batch:
     sizes = np.frombuffer(b"".join(batch["sizes"]), np.int32)
     ids = np.frombuffer(b"".join(batch["ids"]), np.int32)
@@ -183,7 +199,7 @@ def fit_topics(documents: DataFrame, encoded: DataFrame, subjects: list[str], la
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = sent.value  # noqa: B023
             total = np.zeros((v, k))
-            for batch in batches:
+            for batch in _slices(batches):
                 b = _unpacked(batch)
                 if len(b.ids):
                     shares, _ = _spread(b, t, alpha.astype(np.float32))
@@ -241,7 +257,7 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         topics, alpha, mapping = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             b = _unpacked(batch)
             ids, found = [], []
             if len(b.ids) and used:

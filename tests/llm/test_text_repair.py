@@ -49,7 +49,7 @@ def test_sound_texts_stay(repaired):
 
 def test_nothing_to_restore(spark):
     assert M.damaged_rows(spark.createDataFrame([], SEGMENTS)).count() == 0
-    assert M.damaged_rows(spark.createDataFrame([(1, None, None), (2, "x" * 100_000, None)], SEGMENTS)).count() == 0
+    assert M.damaged_rows(spark.createDataFrame([(1, None, None), (2, "x" * 100_000, None), (3, "漢字か" * 30_000, None)], SEGMENTS)).count() == 0
 
 
 def test_runs_are_maximal_segments():
@@ -116,6 +116,18 @@ def test_paragraphs_read_on(noisy):
     assert "ANNUAL REPORT" not in text and "- 12 -" not in text
 
 
+def test_a_very_long_page_among_short_ones():
+    rng = random.Random(0)
+    import numpy as np
+
+    pages = [np.array([[rng.randrange(n) for n in scans._SIZES] for _ in range(k)], np.uint8).reshape(-1, 6) for k in (3, 30_000, 0, 1, 12)]
+    model = scans.initial_tables()
+    together = scans.best_paths(pages, model)
+    assert [len(p) for p in together] == [3, 30_000, 0, 1, 12]
+    for page, path in zip(pages, together):
+        assert (scans.best_paths([page], model)[0] == path).all()
+
+
 def test_pages_without_text(spark):
     assert scans.page_noise(spark.createDataFrame([], PAGES)).count() == 0
     assert scans.page_noise(spark.createDataFrame([(1, "s", None, None, None, None), (2, None, 3, "", None, None)], PAGES)).count() == 0
@@ -144,7 +156,8 @@ def test_subjects_of_held_out_documents(spark):
         truth[i] = set(seen)
         if i % 5 == 0:
             labels += [(i, s.upper() + " ", "a") for s in seen]
-    docs += [(900, None, "x"), (901, "", "x"), (902, "   ", None)]
+    docs += [(900, None, "x"), (901, "", "x"), (902, "   ", None), (903, sentence("sport") * 30_000, "x")]
+    truth[903] = {"sport"}
     labels += [(0, "astrology", "b"), (3, None, "b")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, subject string")
     s = spark.createDataFrame([(k, k) for k in SUBJECTS] + [(None, "x")], "subject string, description string")
@@ -153,7 +166,7 @@ def test_subjects_of_held_out_documents(spark):
         got.setdefault(r.doc_id, set()).add(r.subject)
     held = [i for i in range(600) if i % 5]
     assert sum(got.get(i, set()) == truth[i] for i in held) >= 0.93 * len(held)
-    assert not {900, 901, 902} & set(got)
+    assert not {900, 901, 902} & set(got) and got[903] == {"sport"}
 
 
 def test_subjects_of_nothing(spark):
