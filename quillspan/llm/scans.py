@@ -549,8 +549,9 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     Headers, footers and page numbers are gone, divided words whole, misread
     words put right where a corpus word is known; a paragraph goes on over the
     page end if its sentence does. Blank and null pages have none. Order and
-    numbers come from sums over runs of _PAGES_TOGETHER pages, never from a
-    whole scan in one task.
+    numbers come from sums over runs of _PAGES_TOGETHER pages, and each run takes
+    from the one before whether its sentence has ended: never a whole scan in
+    one task.
     """
     labelled = labelled_pages(pages)
     divided, misread = judged_words(labelled)
@@ -561,10 +562,13 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     run = F.floor(F.coalesce("page_number", F.lit(0)) / _PAGES_TOGETHER)
     within = Window.partitionBy("scan_id", "run").orderBy("page_number", "page_id", "place")
     before = F.lag("ends").over(within)
-    begins = F.when(before.isNull(), True).otherwise(F.when(F.col("place") > 0, True).otherwise(before))
+    # whether a run's first row begins a paragraph is known from the run before; until then it counts as none
+    begins = F.when(before.isNull(), False).otherwise((F.col("place") > 0) | before)
     marked = parts.withColumn("run", run).withColumn("b", begins.cast("int")).withColumn("inner", F.sum("b").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = marked.groupBy("scan_id", "run").agg(F.sum("b").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("scan_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = marked.groupBy("scan_id", "run").agg(F.sum("b").alias("n"), F.max_by("ends", F.struct("page_number", "page_id", "place")).alias("ends"))
+    runs = Window.partitionBy("scan_id").orderBy("run")
+    totals = totals.withColumn("first", F.coalesce(F.lag("ends").over(runs), F.lit(True)).cast("int"))
+    ahead = F.sum(F.col("n") + F.col("first")).over(runs.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     offsets = totals.select(F.col("scan_id").alias("s"), F.col("run").alias("r"), ahead.alias("ahead"))
     numbered = marked.join(offsets, F.col("scan_id").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r"))).withColumn("paragraph_no", (F.col("ahead") + F.col("inner")).cast("int"))
     pieces = F.array_sort(F.collect_list(F.struct("page_number", "page_id", "place", "text")))

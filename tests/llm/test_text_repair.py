@@ -116,6 +116,27 @@ def test_paragraphs_read_on(noisy):
     assert "ANNUAL REPORT" not in text and "- 12 -" not in text
 
 
+def test_paragraphs_read_on_from_one_run_of_pages_to_the_next(spark):
+    rng = random.Random(5)
+    rows = []
+    for number in (*range(60, 68), *range(190, 194)):
+        body = [" ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(12)]
+        if number in (63, 191):
+            body[-1] = "It ended with the annual develop-"
+        if number in (64, 192):
+            body[0] = "ment and the regional measures of the committee."
+        if number == 66:
+            body[-1] = "The committee approved"
+        if number == 67:
+            body[0] = "several measures during the meeting."
+        rows.append((number, "long", number, "\n".join([*body[:6], "", *body[6:]]), None, None))
+    got = sorted(scans.page_paragraphs(spark.createDataFrame(rows, PAGES)).collect(), key=lambda r: r.paragraph_no)
+    assert [r.paragraph_no for r in got] == list(range(1, len(got) + 1))
+    assert [r.page_id for r in got if "annual development and the regional measures" in r.text] == [63, 191]
+    assert [r.page_id for r in got if "committee approved several measures" in r.text] == [66]
+    assert len(got) == 2 * len(rows) - 3
+
+
 def test_a_very_long_page_among_short_ones():
     rng = random.Random(0)
     import numpy as np
