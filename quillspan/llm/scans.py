@@ -28,6 +28,8 @@ from quillspan.plans.lineage import stored
 STATES = ("header", "number", "heading", "body")
 ROUNDS = 2
 SALTS = 8
+#: Pages of a scan that are looked at in one piece.
+_PAGES_TOGETHER = 64
 #: Misread words are broadcast up to this number, else joined by a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -86,7 +88,7 @@ def _edge_lines(lines: list[str]) -> list[int]:
     return sorted({*filled[:2], *filled[-2:]})
 
 
-def _features(lines: list[str], number: int | None, headers: list[str], shifts: list[int]) -> tuple[list[int], list[tuple[int, ...]]]:
+def _features(lines: list[str], number: int | None, headers: dict[str, int], shifts: set[int]) -> tuple[list[int], list[tuple[int, ...]]]:
     """The filled lines and of each the values of its layout features."""
     filled = [i for i, x in enumerate(lines) if x.strip()]
     n = len(filled)
@@ -102,10 +104,7 @@ def _features(lines: list[str], number: int | None, headers: list[str], shifts:
             numeric = 2 if number is not None and (shown - number) in shifts else 1
         repeated = 0
         if place != 2 and _may_run(line):
-            key = line_key(line)
-            if len(key) >= 3 and headers:
-                best = max(1.0 if key == h else SequenceMatcher(None, key, h, autojunk=False).ratio() for h in headers)
-                repeated = 2 if best >= 0.8 else 1 if best >= 0.65 else 0
+            repeated = headers.get(line_key(line), 0)
         letters = [c for c in line if c.isalpha()]
         if letters and sum(c.isupper() for c in letters) >= 0.75 * len(letters) and len(letters) > 3:
             shape = 0
@@ -188,37 +187,102 @@ def _side_by_side(pages: list[np.ndarray], model: tuple[np.ndarray, np.ndarray,
     return [path[i, :n] for i, n in enumerate(counts)]
 
 
-def _with_scan_layout(pages: DataFrame) -> DataFrame:
-    """Pages with what their scan repeats at the edges: headers and the shift of its page numbers."""
+_EDGES = "array<struct<kind:string,key:string>>"
+
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _with_edges(pages: DataFrame) -> DataFrame:
+    """Pages with what may run through their scan: ``h`` the keys of edge lines, ``n`` shifts of page numbers at the edges, ``m`` shifts amid the page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for scan, number, text in zip(batch["scan_id"], batch["page_number"], batch["text"]):
+            for number, text in zip(batch["page_number"], batch["text"]):
                 lines = (text or "").split("\n")
-                keys, shifts = set(), set()
-                for i in _edge_lines(lines):
-                    line = lines[i].strip()
+                at_edge, found = set(_edge_lines(lines)), set()
+                for i, x in enumerate(lines):
+                    line = x.strip()
                     shown = page_number(line)
                     if shown is not None and pd.notna(number):
-                        shifts.add(str(shown - int(number)))
-                    key = line_key(line)
-                    if len(key) >= 3 and _may_run(line):
-                        keys.add(key)
-                out += [(scan, "h", k) for k in keys] + [(scan, "n", k) for k in shifts]
-            yield pd.DataFrame(out, columns=["scan_id", "kind", "key"])
-
-    seen = pages.select("scan_id", "page_number", "text").mapInPandas(edges, "scan_id string, kind string, key string")
-    counted = seen.groupBy("scan_id", "kind", "key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    place = F.row_number().over(Window.partitionBy("scan_id", "kind").orderBy(F.desc("n"), "key"))
-    few = counted.withColumn("place", place).filter(F.col("place") <= 8)
-    layout = few.groupBy("scan_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "h", F.col("key")))).alias("headers"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "n", F.col("key").cast("int")))).alias("shifts"),
+                        found.add(("n" if i in at_edge else "m", str(shown - int(number))))
+                    if i in at_edge and _may_run(line):
+                        key = line_key(line)
+                        if len(key) >= 3:
+                            found.add(("h", key))
+                out.append([{"kind": kind, "key": key} for kind, key in sorted(found)])
+            made = batch[["page_id", "scan_id", "page_number", "text"]].copy()
+            made["page_number"] = made["page_number"].astype("Int32")
+            made["edges"] = pd.Series(out, dtype=object, index=made.index)
+            yield made
+
+    return pages.mapInPandas(run, f"page_id bigint, scan_id string, page_number int, text string, edges {_EDGES}")
+
+
+#: How alike an edge line must be to one that the scan repeats, to be taken for it or for a likely one.
+_SAME, _LIKE = 0.8, 0.65
+
+
+def _letters(keys: list[str]) -> np.ndarray:
+    """How often each letter, and the blank, is in each key."""
+    return np.array([[k.count(c) for c in " abcdefghijklmnopqrstuvwxyz"] for k in keys], np.int16).reshape(len(keys), 27)
+
+
+def _likeness(key: str, letters: np.ndarray, headers: list[str], header_letters: np.ndarray) -> int:
+    """2 if the key is that of one of the headers but for misread characters, 1 if it may be, else 0."""
+    # no pair is more alike than the letters that both have; only the headers that can reach the limit are compared in full
+    most = 2 * np.minimum(letters, header_letters).sum(1) / (letters.sum() + header_letters.sum(1))
+    found = 0
+    for i in np.argsort(-most, kind="stable"):
+        if most[i] < (_SAME if found else _LIKE) - 1e-9:
+            break
+        # in this order, as the likeness isn't symmetric
+        best = SequenceMatcher(None, key, headers[i], autojunk=False).ratio()
+        if best >= _SAME:
+            return 2
+        found = max(found, int(best >= _LIKE))
+    return found
+
+
+def _with_scan_layout(pages: DataFrame) -> DataFrame:
+    """Pages with what their scan repeats of them: ``headers`` are the keys of edge lines with their likeness, ``shifts`` those of its page numbers.
+
+    Every line and shift that stands at the edges of two pages counts. Lines that
+    stand there once are compared with all repeated ones of the scan, in blocks
+    of _PAGES_TOGETHER pages with the repeated lines first seen in 16 such blocks.
+    """
+    edged = stored(_with_edges(pages), "edges")
+    run = F.floor(F.coalesce("page_number", "page_id") / _PAGES_TOGETHER)
+    seen = edged.filter("scan_id is not null").select("page_id", "scan_id", run.alias("run"), F.explode("edges").alias("e")).select("page_id", "scan_id", "run", F.when(F.col("e.kind") == "h", "h").otherwise("n").alias("kind"), "e.key", (F.col("e.kind") != "m").alias("edge"))
+    counted = seen.filter("edge").groupBy("scan_id", "kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("run"), F.min("page_id").alias("page_id"))
+    counted = stored(counted, "edge_lines")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+    def salted(df: DataFrame, by: str) -> DataFrame:
+        return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+    repeated = counted.filter("n >= 2")
+    exact = salted(seen, "page_id").join(repeated.select("scan_id", "kind", "key", salts), ["scan_id", "kind", "key", "salt"]).select("page_id", "kind", "key", F.lit(2).alias("likeness"))
+    ones = counted.filter("n = 1 and kind = 'h'").groupBy("scan_id", "run").agg(F.collect_list(F.struct("page_id", "key")).alias("ones"))
+    headers = repeated.filter("kind = 'h'").groupBy("scan_id", F.floor(F.col("run") / 16)).agg(F.collect_list("key").alias("headers"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ones, headers in zip(batch["ones"], batch["headers"]):
+                headers = list(headers)
+                theirs, mine = _letters(headers), _letters([x["key"] for x in ones])
+                for x, letters in zip(ones, mine):
+                    likeness = _likeness(x["key"], letters, headers, theirs)
+                    if likeness:
+                        out.append((x["page_id"], "h", x["key"], likeness))
+            yield pd.DataFrame(out, columns=["page_id", "kind", "key", "likeness"])
+
+    blocks = salted(ones, "run").join(headers.select("scan_id", "headers", salts), ["scan_id", "salt"]).select("ones", "headers")
+    alike = blocks.mapInPandas(compare, "page_id bigint, kind string, key string, likeness int")
+    found = exact.unionByName(alike).groupBy("page_id").agg(
+        F.collect_list(F.when(F.col("kind") == "h", F.struct("key", "likeness"))).alias("headers"),
+        F.collect_set(F.when(F.col("kind") == "n", F.col("key").cast("int"))).alias("shifts"),
     )
-    layout = layout.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(layout, ["scan_id", "salt"], "left").drop("salt")
+    return edged.drop("edges").join(found, "page_id", "left")
 
 
 _WIDTH = len(_SIZES)
@@ -235,7 +299,10 @@ def _featured(pages: DataFrame) -> DataFrame:
         for batch in batches:
             filled, values = [], []
             for text, number, headers, shifts in zip(batch["text"], batch["page_number"], batch["headers"], batch["shifts"]):
-                where, found = _features((text or "").split("\n"), None if pd.isna(number) else int(number), [] if headers is None else list(headers), [] if shifts is None else list(shifts))
+                alike: dict[str, int] = {}
+                for x in () if headers is None else headers:
+                    alike[x["key"]] = max(x["likeness"], alike.get(x["key"], 0))
+                where, found = _features((text or "").split("\n"), None if pd.isna(number) else int(number), alike, set() if shifts is None else set(shifts))
                 filled.append(np.array(where, np.int32).tobytes())
                 values.append(np.array(found, np.uint8).tobytes())
             out = batch[["page_id", "scan_id", "page_number", "text"]].copy()
@@ -481,7 +548,6 @@ def page_noise(pages: DataFrame) -> DataFrame:
 
 
 _PARAGRAPHS = "scan_id string, page_id bigint, page_number int, place int, text string, begins boolean, ends boolean"
-_PAGES_TOGETHER = 64
 
 
 def _corrected(line: str, fixes: dict[str, str]) -> str:

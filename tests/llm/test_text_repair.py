@@ -137,6 +137,23 @@ def test_paragraphs_read_on_from_one_run_of_pages_to_the_next(spark):
     assert len(got) == 2 * len(rows) - 3
 
 
+def test_every_header_of_a_long_scan_is_known(spark):
+    rng = random.Random(6)
+    chapters = ["Aguas del Norte", "Biblioteca y Museo", "Codigo Minero", "Derechos Humanos", "Economia Rural", "Fiestas Patrias", "Gremios Textiles", "Historia Oral", "Industria Naval", "Jardines Publicos", "Kioscos y Prensa", "Lenguas Vivas", "Quechua Zonal", "Oficios Viejos"]
+    rows = []
+    for number in range(1, 141):
+        chapter = (number - 1) // 10
+        header = chapters[chapter]
+        if number % 10 == 5:
+            header = header[:3] + "!" + header[4:]
+        # the page numbers begin anew with each chapter
+        body = [" ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(12)]
+        rows.append((number, "long", number, "\n".join([header, "", *body, "", f"{(number - 1) % 10 + 1 + 17 * chapter % 5}"]), None, None))
+    found = {(r.page_id, r.line_no, r.noise) for r in scans.page_noise(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [p for p in range(1, 141) if (p, 1, "header") not in found] == []
+    assert [p for p in range(1, 141) if (p, 16, "page_number") not in found] == []
+
+
 def test_a_very_long_page_among_short_ones():
     rng = random.Random(0)
     import numpy as np
