@@ -50,6 +50,8 @@ _NUMBER = re.compile(
 )
 _DIGITS = str.maketrans("lIOoSBZ|!", "110058211")
 _HYPHEN = re.compile(r"([^\W\d_])([-­¬‐‑])[ \t\r]*$")
+#: The same lines for Java, whose classes are those of ASCII.
+_HYPHEN_JAVA = r"[\p{L}\p{Nl}\p{No}][-­¬‐‑][ \t\r]*\z"
 _EDGE_IN_WORD = re.compile(r"^[^\w!€@|$£]+|[^\w€@|$£]+$")
 _LOWER_START = re.compile(r"^[a-zà-öø-ÿ]")
 
@@ -401,7 +403,7 @@ def with_next_line(labelled: DataFrame) -> DataFrame:
     last = F.get(body, F.size(body) - 1)
     begun = labelled.select("scan_id", "page_number", F.col("page_id").alias("next_page"), first["no"].alias("next_no"), first["text"].alias("next_text"), F.size(body).alias("filled"))
     begun = begun.filter("filled > 0 and scan_id is not null and page_number is not null")
-    open_pages = labelled.filter(last["text"].rlike(r"[^\W\d_][-­¬‐‑]\s*$")).select("page_id", "scan_id", F.explode(F.array([F.col("page_number") + i for i in (1, 2, 3)])).alias("page_number"))
+    open_pages = labelled.filter(last["text"].rlike(_HYPHEN_JAVA)).select("page_id", "scan_id", F.explode(F.array([F.col("page_number") + i for i in (1, 2, 3)])).alias("page_number"))
     following = (
         open_pages.join(begun, ["scan_id", "page_number"])
         .groupBy("page_id")

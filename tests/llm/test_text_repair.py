@@ -154,6 +154,29 @@ def test_every_header_of_a_long_scan_is_known(spark):
     assert [p for p in range(1, 141) if (p, 16, "page_number") not in found] == []
 
 
+def test_words_divided_after_an_accented_letter_at_a_page_end(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    halves = {2: ("subsí-", "dio"), 4: ("antibió-", "ticos"), 6: ("PRÓ-", "ximo"), 8: ("informa\u00adção¬", "zinha")}
+    rows = []
+    for number in range(1, 11):
+        body = [" ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(12)]
+        if number in halves:
+            body[-1] = f"It ended with the annual {halves[number][0]}"
+        if number - 1 in halves:
+            body[0] = f"{halves[number - 1][1]} and the long measures of the committee."
+        rows.append((number, "s", number, "\n".join(body), None, None))
+    df = spark.createDataFrame(rows, PAGES)
+    found = {(r.page_id, r.line_no) for r in scans.page_noise(df).collect() if r.noise == "hyphen"}
+    assert found == {(p, 12) for p in halves}
+    assert any("the annual subsídio and the long" in r.text for r in scans.page_paragraphs(df).collect())
+    # both patterns take the same lines
+    lines = ["subsí-", "a-", "ñ¬ \t", "é-\r", "é-\u00a0", "é-\u2028", "5-", "_-", "½-", "Ж‐", "漢‑", "-", "é - ", "", "é-x"]
+    seen = spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.col("x").rlike(scans._HYPHEN_JAVA).alias("hit")).collect()
+    assert {r.x: r.hit for r in seen} == {x: bool(scans._HYPHEN.search(x)) for x in lines}
+
+
 def test_a_very_long_page_among_short_ones():
     rng = random.Random(0)
     import numpy as np
