@@ -324,6 +324,12 @@ def html_text(s, d):
     return x.select("doc_id", X.html_text("text").alias("plain"))
 
 
+@query()
+def html_text_all(s, d):
+    """html_text over every document, with those whose entities and body the SQL of html_text can't follow."""
+    return table(s, d, "documents").select("doc_id", X.html_text("text").alias("plain"))
+
+
 @query(O.RTF_TEXT)
 def rtf_text(s, d):
     return table(s, d, "documents").select("doc_id", X.strip_rtf_web("text").alias("web"), X.strip_rtf_desktop("text").alias("desktop"))

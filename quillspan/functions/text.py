@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PY_BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _JS_BLANK = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -110,14 +114,17 @@ def strip_rtf_web(c: str | Column) -> Column:
     return js_squeezed(F.regexp_replace(x, r"[{}]", " "))
 
 
+@F.pandas_udf(T.StringType())
+def _entities_decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
+
+
 def html_text(c: str | Column) -> Column:
     """The text of a page's body, as it stands between the tags."""
-    body = F.coalesce(F.nullif(F.regexp_extract(col(c), r"(?is)<body[^>]*>(.*?)(?:</body>|$)", 1), F.lit("")), col(c))
+    body = F.when(F.rlike(col(c), F.lit(r"(?i)<body[^>]*>")), F.regexp_extract(col(c), r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)).otherwise(col(c))
     x = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), r"(?s)</?[A-Za-z!][^<>]*>", "")
-    # Entities of usual pages.
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(sign))
-    return x
+    return _entities_decoded(x)
 
 
 def normalize_ocr(c: str | Column) -> Column:

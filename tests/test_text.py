@@ -87,6 +87,41 @@ def test_rtf_and_markup(spark):
     assert column(spark, ["<html><head><title>t</title></head><body><p>a &amp; b</p></body></html>"], X.html_text) == ["a & b"]
 
 
+def test_markup_of_all_documents_equals_a_parser(spark, tmp_path):
+    from html.parser import HTMLParser
+
+    from quillspan import catalogue
+
+    class Body(HTMLParser):
+        def __init__(self, inside):
+            super().__init__()
+            self.text, self.inside = "", inside
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "body"
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "body"
+
+        def handle_data(self, data):
+            self.text += data if self.inside else ""
+
+    texts = [
+        "<html><head><title>t</title></head><body class='x'><p>caf&eacute; &#243; &#xF1; &amp;lt; &lt;b&gt;</p></body></html>", "<HTML><title>t</title><BODY>uno<br>dos &nbsp;&hellip;\n", "<title>t</title><body></body>",
+        "AT&T &copy; R&D a<!-- <b>x</b> & --> b", "sin marcas", "", "2 < 3 & 4 > 1", "&Ntilde;and&uacute; &iquest;qu&eacute;? &euro; &ldquo;s&iacute;&rdquo;",
+    ]
+    rows = [*enumerate(texts), (99, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.plain for r in catalogue.QUERIES["html_text_all"](spark, str(tmp_path)).collect()}
+    want = {99: None}
+    for i, text in enumerate(texts):
+        parser = Body("<body" not in text.lower())
+        parser.feed(text)
+        parser.close()
+        want[i] = parser.text
+    assert got == want
+
+
 def test_highlighting_escapes_first(spark):
     got = column(spark, ["<b>Memoria</b> y memorias"], lambda c: X.highlighted(c, ["memoria"]))[0]
     assert got == "&lt;b&gt;<mark>Memoria</mark>&lt;/b&gt; y memorias"
