@@ -303,6 +303,14 @@ def flatten_records_orders(s, d):
     return table(s, d, "orders").select("o_orderkey", records.record_text(e).alias("text"), big(F.size(e)).alias("entries"))
 
 
+@query()
+def flatten_records_orders_all(s, d):
+    """flatten_records_orders over every column of orders, its number and its date too."""
+    o = table(s, d, "orders")
+    e = records.entries_of(o.columns, dict(o.dtypes))
+    return o.select("o_orderkey", e.alias("e")).select("o_orderkey", records.record_text(F.col("e")).alias("text"), big(F.size("e")).alias("entries"))
+
+
 @query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_flatten_events(s, d):
     e = table(s, d, "events").select("event_id", F.explode(records.flatten_json("props")).alias("e"))

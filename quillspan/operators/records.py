@@ -78,9 +78,25 @@ def flatten_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([one(t) for t in texts], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _number_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for numbers in batches:
+        yield numbers.map(lambda x: number_text(float(x)))
+
+
 def entries_of(columns: list[str], types: dict[str, str] | None = None) -> Column:
-    """The entries of a row's columns without those that are null or blank."""
-    made = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in columns]
+    """The entries of a row's columns without those that are null or blank.
+
+    Columns that ``types`` names as double print as JSON tools print numbers;
+    dates and times print as yyyy-MM-dd[ HH:mm:ss].
+    """
+
+    def value(c: str) -> Column:
+        if (types or {}).get(c) == "double":
+            return F.when(F.col(c).isNotNull(), _number_texts(F.col(c)))
+        return F.col(c).cast("string")
+
+    made = [F.struct(F.lit(c).alias("key"), value(c).alias("value")) for c in columns]
     return F.filter(F.array(*made), lambda e: e["value"].isNotNull() & (F.length(F.regexp_replace(e["value"], r"(?U)\s+", "")) > 0))
 
 
