@@ -394,21 +394,24 @@ def _text_lines(lines) -> list:
 
 
 def with_next_line(labelled: DataFrame) -> DataFrame:
-    """Pages with the first body line of the next page of the scan that has one, at most two pages on.
+    """Pages that end in a divided word with the first body line of the next page of the scan that has one, however far on.
 
-    ``continued`` marks the pages whose first body line is such a next line.
+    Within runs of _PAGES_TOGETHER page numbers that is the next filled page, at
+    a run's end the first one of the next run that has any. ``continued`` marks the pages whose first body line is such a next line.
     """
     body = F.filter("lines", lambda x: x["state"].isin("body", "heading"))
     first = F.get(body, F.lit(0))
     last = F.get(body, F.size(body) - 1)
-    begun = labelled.select("scan_id", "page_number", F.col("page_id").alias("next_page"), first["no"].alias("next_no"), first["text"].alias("next_text"), F.size(body).alias("filled"))
-    begun = begun.filter("filled > 0 and scan_id is not null and page_number is not null")
-    open_pages = labelled.filter(last["text"].rlike(_HYPHEN_JAVA)).select("page_id", "scan_id", F.explode(F.array([F.col("page_number") + i for i in (1, 2, 3)])).alias("page_number"))
-    following = (
-        open_pages.join(begun, ["scan_id", "page_number"])
-        .groupBy("page_id")
-        .agg(F.min_by(F.struct("next_page", "next_no", "next_text"), "page_number").alias("next"))
-    )
+    filled = labelled.filter((F.size(body) > 0) & F.col("scan_id").isNotNull() & F.col("page_number").isNotNull())
+    begun = filled.select("scan_id", "page_number", F.struct(F.col("page_id").alias("next_page"), first["no"].alias("next_no"), first["text"].alias("next_text")).alias("begin"))
+    # one page stands for those that have the same number
+    begun = begun.groupBy("scan_id", "page_number").agg(F.min_by("begin", "begin.next_page").alias("begin")).withColumn("run", F.floor(F.col("page_number") / _PAGES_TOGETHER))
+    heads = begun.groupBy("scan_id", "run").agg(F.min_by("begin", "page_number").alias("head"))
+    heads = heads.select("scan_id", "run", F.lead("head").over(Window.partitionBy("scan_id").orderBy("run")).alias("ahead"))
+    following = begun.withColumn("next", F.lead("begin").over(Window.partitionBy("scan_id", "run").orderBy("page_number"))).join(heads, ["scan_id", "run"])
+    following = following.select("scan_id", "page_number", F.coalesce("next", "ahead").alias("next")).filter("next is not null")
+    open_pages = filled.filter(last["text"].rlike(_HYPHEN_JAVA)).select("page_id", "scan_id", "page_number")
+    following = open_pages.join(following, ["scan_id", "page_number"]).select("page_id", "next")
     continued = following.select(F.col("next.next_page").alias("page_id"), F.lit(True).alias("continued")).distinct()
     return labelled.join(following, "page_id", "left").join(continued, "page_id", "left")
 

@@ -177,6 +177,23 @@ def test_words_divided_after_an_accented_letter_at_a_page_end(spark):
     assert {r.x: r.hit for r in seen} == {x: bool(scans._HYPHEN.search(x)) for x in lines}
 
 
+def test_divided_words_go_on_after_many_empty_pages(spark):
+    rng = random.Random(8)
+    rows = []
+    for number in (1, 2, 3, 4, 9, 10, 60, 61, 62, 300, 301):
+        body = [" ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(12)]
+        if number in (4, 10, 62):
+            body[-1] = "It ended with the annual develop-"
+        if number in (9, 60, 300):
+            body[0] = "ment and the regional measures of the committee."
+        rows.append((number, "s", number, "\n".join(body), None, None))
+    rows += [(1000 + n, "s", n, text, None, None) for n, text in ((5, ""), (6, None), (7, "  "), (8, ""), (63, None), (64, ""), (200, None))]
+    df = spark.createDataFrame(rows, PAGES)
+    found = {(r.page_id, r.line_no) for r in scans.page_noise(df).collect() if r.noise == "hyphen"}
+    assert found == {(4, 12), (10, 12), (62, 12)}
+    assert sum("annual development and the regional" in r.text for r in scans.page_paragraphs(df).collect()) == 3
+
+
 def test_a_very_long_page_among_short_ones():
     rng = random.Random(0)
     import numpy as np
