@@ -40,8 +40,10 @@ WRONG_READINGS = (
     ("cp1251", "cp1252"), ("cp1253", "cp1252"), ("cp1250", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("cp866", "cp1251"),
 )
 
-#: Words; what goes on without a blank is taken in lengths that keep the search for runs short.
-_TOKEN = re.compile(r"[^ \t\r\n]{1,256}")
+#: Words are taken whole, however long they are; all that is done to one takes time in proportion to its length.
+_TOKEN = re.compile(r"[^ \t\r\n]+")
+#: Longer words aren't remembered.
+_MOST_REMEMBERED = 256
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -134,7 +136,7 @@ def improbable_runs(token: str, model: PairModel) -> list[tuple[int, int]]:
             scores.append(-4.0)
         else:
             scores.append(max(-4.0, min(6.0, -model.information(x, y))))
-    segments: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    segments: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, last earlier one with a lower sum before
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
@@ -142,16 +144,21 @@ def improbable_runs(token: str, model: PairModel) -> list[tuple[int, int]]:
             continue
         start, low, high = i, before, total
         while True:
-            j = next((k for k in range(len(segments) - 1, -1, -1) if segments[k][2] < low), -1)
+            j = len(segments) - 1
+            while j >= 0 and segments[j][2] >= low:
+                j = segments[j][4]
             if j < 0 or segments[j][3] >= high:
-                segments.append((start, i + 1, low, high))
+                segments.append((start, i + 1, low, high, j))
                 break
             start, low = segments[j][0], segments[j][2]
             del segments[j:]
     runs = []
-    for start, end, _, _ in segments:
+    for start, end, *_ in segments:
         a, b = max(0, start - 1), min(len(token), end)  # pairs to characters of the token
-        while a > 0 and token[a - 1] >= "\x80":
+        floor = runs[-1][1] if runs else 0
+        if floor > b:
+            continue  # inside the run before
+        while a > floor and token[a - 1] >= "\x80":
             a -= 1
         while b < len(token) and token[b] >= "\x80":
             b += 1
@@ -166,32 +173,41 @@ def _every_run(token: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x7f]+", token)]
 
 
-def _best(before: str, run: str, after: str, token: str, model: PairModel) -> tuple[float, str, bool]:
-    """The most probable undoing of a run between two characters: gain, text, and whether it is the whole token's.
+def _best_of_run(before: str, run: str, after: str, model: PairModel) -> tuple[float, str]:
+    """The most probable undoing of UTF-8 sequences inside a run between two characters: gain and text."""
+    old = model.text(before + run + after)
+    best, found = 0.0, run
+    for true, wrong in WRONG_READINGS:
+        if true != "utf-8":
+            continue
+        new = _undo_utf8(run, wrong)
+        if new is None or new == run:
+            continue
+        gain = model.text(before + new + after) - old + 1.0  # such sequences hardly arise by chance
+        if gain > best:
+            best, found = gain, new
+    return best, found
+
+
+def _best_of_token(token: str, model: PairModel) -> tuple[float, str]:
+    """The most probable undoing of a single-byte reading: gain and text.
 
-    UTF-8 sequences are restored inside the run. One byte a character leaves no
-    such trace, so then every character of the token beyond ASCII must have been
-    read in the same wrong way.
+    One byte a character leaves no trace such as that of UTF-8, so every
+    character of the token beyond ASCII must have been read in the same wrong way.
     """
-    old_run, old_token = model.text(before + run + after), model.text(f" {token} ")
-    best, found, whole = 0.0, run, False
+    old = model.text(f" {token} ")
+    best, found = 0.0, token
+    high = {c for c in token if c >= "\x80"}
     for true, wrong in WRONG_READINGS:
-        if true == "utf-8":
-            new = _undo_utf8(run, wrong)
-            if new is None or new == run:
-                continue
-            gain = model.text(before + new + after) - old_run + 1.0  # such sequences hardly arise by chance
-        else:
-            known = _bytes_of(wrong)
-            if any(c >= "\x80" and c not in known for c in token):
-                continue
-            new = token.translate(_single(true, wrong))
-            if new == token:
-                continue
-            gain = model.text(f" {new} ") - old_token
+        if true == "utf-8" or not high <= _bytes_of(wrong).keys():
+            continue
+        new = token.translate(_single(true, wrong))
+        if new == token:
+            continue
+        gain = model.text(f" {new} ") - old
         if gain > best:
-            best, found, whole = gain, new, true != "utf-8"
-    return best, found, whole
+            best, found = gain, new
+    return best, found
 
 
 def restore_token(token: str, model: PairModel, least_gain: float = GAIN, runs: Callable[[str, PairModel], list[tuple[int, int]]] = improbable_runs) -> tuple[str, bool]:
@@ -201,15 +217,18 @@ def restore_token(token: str, model: PairModel, least_gain: float = GAIN, runs:
         if not _HIGH.search(token):
             break
         out, at, changed = [], 0, False
+        of_token = None
         for a, b in runs(token, model):
             before = token[a - 1] if a else " "
             after = token[b] if b < len(token) else " "
-            gain, new, whole = _best(before, token[a:b], after, token, model)
-            if gain < least_gain:
+            if of_token is None:
+                of_token = _best_of_token(token, model)
+            gain, new = _best_of_run(before, token[a:b], after, model)
+            if max(gain, of_token[0]) < least_gain:
                 continue
             changed = True
-            if whole:
-                out, at = [new], len(token)
+            if of_token[0] > gain:
+                out, at = [of_token[1]], len(token)
                 break
             out += [token[at:a], new]
             at = b
@@ -231,6 +250,8 @@ class Restorer:
         got = self._known.get(token)
         if got is None:
             got = restore_token(token, self._model, self._gain, self._runs)
+            if len(token) > _MOST_REMEMBERED:
+                return got
             if len(self._known) >= 200_000:
                 self._known.clear()
             self._known[token] = got

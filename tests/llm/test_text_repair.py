@@ -59,6 +59,23 @@ def test_runs_are_maximal_segments():
     assert start <= 2 and end >= 4 and not more
 
 
+def test_words_of_any_length_are_restored_whole():
+    import time
+
+    counts = {}
+    for t in SENTENCES * 50:
+        for x, y in zip(f" {t}", f"{t} "):
+            counts[x + y] = counts.get(x + y, 0) + 1
+    restorer = M.Restorer(M.PairModel(counts))
+    for shift in range(8):
+        true = "x" * (250 + shift) + "situación" + "-" * 300 + "región"
+        assert restorer.restored(true.encode().decode("cp1252")) == (true, True)
+    began = time.process_time()
+    for word in ("Ã³n" * 20_000, "aé" * 30_000, "漢字か" * 20_000, "éa漢" * 20_000):
+        restorer.restored(word)
+    assert time.process_time() - began < 60
+
+
 PAGES = "page_id bigint, scan_id string, page_number int, text string, confidence double, state string"
 WORDS = "the committee reviewed information about regional development and approved several important measures during the annual meeting".split()
 
