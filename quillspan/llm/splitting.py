@@ -78,15 +78,21 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list
     ``start`` to ``body start`` is shared with the piece before. A null or blank
     text has no piece; a text within the limit has one.
     """
+    return units_and_pieces(text, limit, overlap)[1]
+
+
+def units_and_pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """The starts of the natural units of a text, and the pieces into which they are merged."""
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("limit must be positive and overlap in [0, limit)")
     if not text or not text.strip():
-        return []
+        return [], []
     first, last = len(text) - len(text.lstrip()), len(text.rstrip())
     if last - first <= limit:
-        return [(1, first, first, last)]
+        return [b.position for b in boundaries(text)], [(1, first, first, last)]
     room = limit - overlap
-    cuts = _refined(text[:last], boundaries(text), room)
+    natural = boundaries(text)
+    cuts = _refined(text[:last], natural, room)
     position = [c.position for c in cuts]
     n = len(cuts)
     # unit i spans position[i] to end[i]; left and right are the living neighbours
@@ -125,22 +131,25 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list
         shared = body if part == 1 else max(_overlap_start(text, body, floor, overlap, starts), stop - limit)
         out.append((part, shared, body, stop))
         floor = body
-    return out
+    return [b.position for b in natural], out
 
 
-def _pieces_udf(limit: int, overlap: int):
-    @F.pandas_udf(_PIECE)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[dict(zip(("part", "start_pos", "body_pos", "end_pos"), p)) for p in pieces(t, limit, overlap)] for t in texts])
+_SPLIT = T.StructType([T.StructField("units", T.ArrayType(T.IntegerType())), T.StructField("pieces", _PIECE)])
 
-    return cut
 
+def _split_udf(limit: int, overlap: int):
+    """The natural units of texts and their pieces, from one pass of the merging."""
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([[b.position for b in boundaries(t)] for t in texts])
+    @F.pandas_udf(_SPLIT)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            made = [units_and_pieces(t, limit, overlap) for t in texts]
+            yield pd.DataFrame({
+                "units": pd.Series([units for units, _ in made], dtype=object),
+                "pieces": pd.Series([[dict(zip(("part", "start_pos", "body_pos", "end_pos"), p)) for p in found] for _, found in made], dtype=object),
+            })
+
+    return cut
 
 
 def trimmed_length(column: str | F.Column) -> F.Column:
@@ -157,10 +166,10 @@ def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return chunks.filter(F.length("text") > limit).filter(F.when(F.length("text") > limit, trimmed_length("text") > limit))
 
 
-def natural_starts(chunks: DataFrame, key: str = "chunk_id", limit: int = LIMIT) -> DataFrame:
-    """(key, start_pos): the natural boundaries of every oversized text, copies of a row once."""
+def natural_starts(chunks: DataFrame, key: str = "chunk_id", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, start_pos): the natural units of every oversized text, as the merging begins with them; copies of a row once."""
     long = oversized(chunks.select(key, "text"), limit).dropDuplicates([key])
-    return long.select(key, F.explode(_starts("text")).alias("start_pos"))
+    return long.select(key, F.explode(_split_udf(limit, min(overlap, limit - 1))("text")["units"]).alias("start_pos"))
 
 
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, bucket: int = 1024) -> DataFrame:
@@ -178,7 +187,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     """
     rows = chunks.dropDuplicates(["chunk_id"])
     is_long = F.length("text") > limit
-    long = rows.filter(is_long).withColumn("__piece", F.explode_outer(_pieces_udf(limit, overlap)("text")))
+    long = rows.filter(is_long).withColumn("__piece", F.explode_outer(_split_udf(limit, overlap)("text")["pieces"]))
     piece_type = _PIECE.elementType
     short = rows.filter(~F.coalesce(is_long, F.lit(False))).withColumn("__piece", F.lit(None).cast(piece_type))
     cut = long.unionByName(short)

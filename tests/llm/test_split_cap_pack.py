@@ -196,3 +196,14 @@ def test_packing_a_table(spark):
     assert sorted((r.part, r.n_tokens) for r in got if r.doc_id == 8) == [(0, 10), (1, 10), (2, 5)]
     assert len(fill) <= 9 and not {0, 1} & {r.doc_id for r in got}
     assert packing.pack_lengths(df.limit(0), "doc_id", "n", 10).count() == 0
+
+
+def test_units_and_pieces_come_from_one_pass(spark):
+    from quillspan.llm import splitting
+
+    text = " ".join(f"Oración número {i} sobre la región y su historia." for i in range(300))
+    units, found = splitting.units_and_pieces(text)
+    assert found == splitting.pieces(text) and len(found) > 1
+    assert {p[2] for p in found} <= set(units)
+    df = spark.createDataFrame([(1, text), (1, text), (2, "corto"), (3, None)], "chunk_id bigint, text string")
+    assert sorted((r.chunk_id, r.start_pos) for r in splitting.natural_starts(df).collect()) == [(1, u) for u in units]
