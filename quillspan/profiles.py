@@ -58,13 +58,13 @@ WEB_ASKS = {
 }
 WEB_CHANGES = ("acept", "cambi", "dejo de", "elimin", "reemplaz", "retir", "suprim")
 
-# Patterns of dates and names.
+# Patterns of dates and names. In those of the web profile a word's edge is that of ASCII words, spelt out with what stands before and after.
 YEAR = r"(?:18|19|20)\d{2}"
 DESKTOP_DATE = rf"(?i)(?U)\b\d{{1,2}}\s+de\s+[a-záéíóúñ]+\s+de\s+{YEAR}\b"
 WEB_DATE = rf"(?<![0-9A-Za-z_])\d{{1,2}}\s+de\s+\p{{L}}+\s+de\s+{YEAR}(?![0-9A-Za-z_])"
-WEB_DATE_PRECISE = rf"(?<![0-9A-Za-z_])\d{{1,2}}(?:\s+y\s+\d{{1,2}})?\s+de\s+\p{{L}}+\s+de\s+{YEAR}(?![0-9A-Za-z_])"
+WEB_DATE_PRECISE = rf"(?<![0-9A-Za-z_])\d{{1,2}}\s+(?:y\s+\d{{1,2}}\s+)?de\s+\p{{L}}+\s+de\s+{YEAR}(?![0-9A-Za-z_])"
 WEB_YEAR = rf"(?<![0-9A-Za-z_]){YEAR}(?![0-9A-Za-z_])"
-DESKTOP_PERSON = r"(?U)\b[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\b"
+DESKTOP_PERSON = r"(?U)\b[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)+\b"
 #: An ASCII word boundary, as web text functions have it, before or after any letter.
 _EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 WEB_PERSON = _EDGE + r"\p{Lu}\p{Ll}+(?:\s+(?:[A-Z]\.\s+)?\p{Lu}\p{Ll}+)+" + _EDGE
@@ -122,8 +122,16 @@ GENERAL_THEMES = (
 # Sentences of composed answers.
 EXTRACTIVE_HEAD = "Con lo que aparece en tus materiales locales, las pistas más fuertes son:"
 EXTRACTIVE_TAIL = "La lectura conviene hacerla cruzando esas fuentes, porque el índice encontró coincidencias en más de un documento."
+NOTHING_FOUND = "No encontré evidencia fuerte en el índice local para responder. Probá con otros términos o actualizá el índice si agregaste archivos nuevos."
+CONCEPT_REQUEST = (
+    "Defini conceptualmente '{concept}' usando solo las fuentes locales. No te limites a decir donde aparece: explica que significa, sus rasgos, "
+    "matices y una definicion de trabajo con citas. Consulta original: {query}"
+)
 CAVEAT_EMPTY = "No apareció evidencia suficiente. Probá otra formulación o agregá más material a la base."
 CAVEAT = "La respuesta es extractiva: muestra lo que la base realmente dice y no completa huecos con información inventada."
+NOTICE_BLANK = "Escribí una idea, palabra o pregunta para buscar."
+NOTICE_WORDS = "La búsqueda se resolvió por palabras. Activá “Preparar ideas” para sumar similitud conceptual sin enviar tus textos."
+NOTICE_FAILED = "No pude usar el motor conceptual; mostré coincidencias por palabras."
 REASON_DATE, REASON_PERSON = "fecha o momento", "persona o actor mencionado"
 REASON_CONCEPT, REASON_PASSAGE = "coincidencia conceptual", "pasaje relevante"
 MODES = ("sin resultados", "modelo local", "concepto local con fuentes", "síntesis local extractiva")

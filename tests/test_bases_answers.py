@@ -1,6 +1,7 @@
 """Knowledge bases, recognition, whole answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.plans import answering, bases
 from quillspan.plans.sync import Catalog
@@ -59,6 +60,39 @@ def test_whole_answers(spark):
     assert answering.answer_question(ask("territorio", [1.0, 0.0]), chunks.limit(0)).mode == "sin resultados"
 
 
+def test_a_batch_of_questions(spark):
+    chunks = spark.createDataFrame([("1", "a.txt", "m/a.txt", "p1", TEXT, [1.0, 0.0])], CHUNKS)
+    asked = spark.createDataFrame([(1, "territorio", [1.0, 0.0]), (2, "qué construyen los vecinos en la historia del barrio", [1.0, 0.1]), (3, " ", None), (4, "algo sin vector que sirva para buscar", None)], "query_id bigint, query_text string, embedding array<float>")
+    got = {r.query_id: r for r in answering.answer_questions(asked, chunks).collect()}
+    assert [got[i].mode for i in (1, 2, 3, 4)] == ["concepto local con fuentes", "síntesis local extractiva", "sin resultados", "sin resultados"]
+    assert got[2].sources[0].file == "a.txt" and got[4].sources == []
+    told = {r.query_id: r.text for r in answering.answer_questions(asked, chunks, model=lambda q, s: f"{q[:20]} [{len(s)}]").collect()}
+    assert told[1] == "Defini conceptualmen [1]" and told[2] == "qué construyen los v [1]"
+
+
+def test_search_falls_back_to_words(spark):
+    from quillspan.sources.embedder import Embedder
+
+    class Broken(Embedder):
+        def prepare(self):
+            raise RuntimeError("no model")
+
+        def embed(self, texts):
+            return []
+
+    rows = [("1", "s", "a.txt", "p1", TEXT, None, [1.0, 0.0])]
+    schema = "chunk_id string, source_id string, source_name string, location string, text string, metadata map<string,string>, embedding array<float>"
+    chunks, bare = spark.createDataFrame(rows, schema), spark.createDataFrame([(*rows[0][:6], None)], schema)
+    asked = spark.createDataFrame([(1, " territorio ", [1.0, 0.0])], "query_id bigint, query_text string, embedding array<float>")
+    hits, notice = answering.search_or_words(asked, chunks)
+    assert notice == "" and hits.first().semantic == 1.0
+    for base, embedder, said in ((bare, None, "La búsqueda se resolvió por palabras"), (chunks, Broken(), "No pude usar el motor conceptual")):
+        hits, notice = answering.search_or_words(asked, base, "semantic", embedder)
+        assert notice.startswith(said) and hits.first().semantic == 0.0 and hits.first().lexical > 0
+    hits, notice = answering.search_or_words(asked.withColumn("query_text", F.lit("  ")), chunks)
+    assert notice.startswith("Escribí") and hits.count() == 0
+
+
 def test_only_a_local_model_is_asked():
     assert answering.is_local("http://[::1]:1234/v1") and not answering.is_local("http://localhost.example.com")
     with pytest.raises(ValueError):

@@ -78,8 +78,23 @@ def test_claims_put_the_dated_answer_first(spark):
 
 
 @pytest.mark.parametrize(("q", "want"), [("¿Qué es territorio?", "¿que territorio"), ("construcción de la demanda social", "construccion de la demanda"), ("definición de intervención", "intervencion"), ("cuales son los efectos de la memoria en el aula", None), ("", None)])
-def test_concepts(q, want):
-    assert A.concept_of(q) == want
+def test_concepts(spark, q, want):
+    assert spark.createDataFrame([(q,)], "q string").select(A.concept_of("q")).first()[0] == want
+
+
+def test_what_a_concept_is_called(spark):
+    df = spark.createDataFrame([("definición de intervención",), ("el concepto de subjetividad",), ("territori",), ("memoria",)], "q string")
+    got = [r.asDict() for r in df.select(A.anchors_of("q").alias("a"), A.concept_variants(A.concept_of("q")).alias("v"), A.expanded_query(A.concept_of("q"), "q").alias("e")).collect()]
+    assert got[0]["v"] == ["intervencion", "intervenciones", "intervencional"] and got[0]["e"] == "intervencion intervencion intervenciones intervencional intervencion definición de intervención"
+    assert got[1]["v"] == ["subjetividad", "subjetivides"]
+    assert got[2]["v"][:2] == ["territorio", "territorial"] and {"territori", "barrio"} <= set(got[2]["a"])
+    assert got[3]["a"] == ["memori", "memoria"]
+
+
+def test_a_query_without_hits_is_told(spark, chunks):
+    q = spark.createDataFrame([(1, "corteza", None), (2, "zzz", None)], QUERIES)
+    got = {r.query_id: r for r in A.evidence_answers(R.search_web(q, chunks, "literal"), queries=q).collect()}
+    assert len(got[1].passages) == 1 and got[2].passages == [] and got[2].caveat.startswith("No apareció evidencia suficiente")
 
 
 def test_concept_essay(spark):
