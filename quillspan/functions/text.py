@@ -162,6 +162,12 @@ def canonical_source_key(relative_path: str | Column, source_path: str | Column,
     return F.when(key != "", key).otherwise(F.coalesce(col(file_name), F.lit("")))
 
 
+def short_file_name(path: str | Column) -> Column:
+    """What follows the last slash; the path itself if that is nothing."""
+    last = F.element_at(F.split(col(path), "/"), -1)
+    return F.when(last != "", last).otherwise(col(path))
+
+
 def safe_relative(path: str | Column, root: str | Column) -> Column:
     p, r = col(path), F.regexp_replace(col(root), "/+$", "")
     return F.when(p == r, ".").when(F.startswith(p, F.concat(r, F.lit("/"))), F.substr(p, F.length(r) + 2)).otherwise(F.element_at(F.split(p, "/"), -1))

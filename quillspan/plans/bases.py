@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators.chunking import chunks_web
@@ -25,6 +25,46 @@ def list_bases(catalog: Catalog) -> DataFrame:
     return catalog.read("bases", BASES).orderBy(F.desc("updated_at"), "base_id")
 
 
+SETTINGS = "name string, value string"
+
+# The demonstration base: texts of this project's own.
+DEMO_NAME = "Base de demostración"
+DEMO = (
+    ("memoria.txt", "línea 1", "La memoria de trabajo mantiene activa la información que una tarea necesita y la renueva a medida que la tarea avanza."),
+    ("memoria.txt", "línea 3", "Repasar en días distintos ayuda a recordar más que repasar mucho en un solo día."),
+    ("barrio.txt", "línea 1", "Un barrio es más que un conjunto de calles: lo forman sus vecinos, su historia y las instituciones que comparten."),
+    ("barrio.txt", "línea 3", "Las demandas de un barrio cambian cuando sus organizaciones logran ponerlas en palabras."),
+)
+
+
+def demo_chunks(spark: SparkSession, base_id: str) -> DataFrame:
+    """The chunks of the demonstration base."""
+    rows = [(base_id, f"{base_id}-{i}", name, name, "txt", place, text, None, None, None) for i, (name, place, text) in enumerate(DEMO)]
+    return spark.createDataFrame(rows, CHUNKS)
+
+
+def initialize(catalog: Catalog) -> str:
+    """Readies the catalog and returns the base to show: the last one used, else the last one changed.
+
+    An empty catalog is given the demonstration base.
+    """
+    bases = list_bases(catalog)
+    if bases.isEmpty():
+        key = create_base(catalog, DEMO_NAME)
+        catalog.publish({"base_chunks": upsert(catalog.read("base_chunks", CHUNKS), demo_chunks(catalog.spark, key), "chunk_id")})
+        return key
+    used = catalog.read("settings", SETTINGS).filter("name = 'last_base'").select(F.col("value").alias("base_id"))
+    kept = bases.join(F.broadcast(used), "base_id", "left_semi").first()  # one row of settings
+    return (kept or bases.first()).base_id
+
+
+def select_base(catalog: Catalog, base_id: str) -> None:
+    """Remembers the base for the next start; refuses one that isn't there."""
+    if catalog.read("bases", BASES).filter(F.col("base_id") == base_id).isEmpty():
+        raise KeyError(base_id)
+    catalog.publish({"settings": catalog.spark.createDataFrame([("last_base", base_id)], SETTINGS)})
+
+
 def create_base(catalog: Catalog, name: str) -> str:
     name = name.strip() or DEFAULT_NAME
     key = base_identity(name)

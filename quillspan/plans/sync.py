@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import socket
+import time
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -19,6 +22,10 @@ MANIFEST = "source_path string, relative_path string, source_name string, extens
 CHUNKS = "chunk_id string, source_path string, source_name string, relative_path string, extension string, location string, chunk_index int, text string"
 
 
+#: Seconds after which a lock counts as left behind.
+STALE_AFTER = 24 * 3600.0
+
+
 def manifest_diff(listing: DataFrame, manifest: DataFrame, key: str = "source_path") -> DataFrame:
     """(key, action): new, unchanged, candidate (its size or time differs) or removed, for every file of either side."""
     cur = listing.select(key, F.col("size").alias("__s"), F.col("mtime_ns").alias("__m")).withColumn("__cur", F.lit(True))
@@ -74,7 +81,7 @@ class Catalog:
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._owner = spark, folder.rstrip("/"), ""
         if _local(folder) is None:
             raise ValueError("the catalog needs a mounted file system")
         os.makedirs(_local(folder), exist_ok=True)
@@ -111,12 +118,75 @@ class Catalog:
     def reset(self) -> None:
         self.publish({"manifest": self.spark.createDataFrame([], MANIFEST), "chunks": self.spark.createDataFrame([], CHUNKS)})
 
-    def lock(self) -> None:
-        """Fails if another run holds the index."""
-        os.close(os.open(os.path.join(_local(self.folder), "lock"), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    def lock(self, stale_after: float = STALE_AFTER) -> None:
+        """Fails if another run holds the index.
+
+        The lock says who holds it and since when. That of a process of this
+        machine that is gone, and any that is older than ``stale_after``
+        seconds, is taken over; of several that try only one gets it.
+        """
+        path = os.path.join(_local(self.folder), "lock")
+        mine = {"owner": uuid.uuid4().hex, "host": socket.gethostname(), "pid": os.getpid(), "since": time.time()}
+        for _ in range(2):
+            try:
+                with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    json.dump(mine, f)
+                self._owner = mine["owner"]
+                return
+            except FileExistsError:
+                if not self._is_stale(path, stale_after):
+                    raise
+                aside = f"{path}.{mine['owner']}"
+                try:
+                    os.rename(path, aside)
+                    os.unlink(aside)
+                except FileNotFoundError:
+                    pass  # another run was quicker
+        raise FileExistsError(path)
+
+    @staticmethod
+    def _is_stale(path: str, stale_after: float) -> bool:
+        try:
+            with open(path) as f:
+                held = json.load(f)
+            since, here, pid = held["since"], held["host"] == socket.gethostname(), held["pid"]
+        except FileNotFoundError:
+            return True
+        except (ValueError, KeyError):  # half written, or by a run that was killed while it wrote
+            since, here, pid = os.path.getmtime(path), False, 0
+        if time.time() - since > stale_after:
+            return True
+        if not here:
+            return False
+        try:
+            os.kill(pid, 0)
+        except ProcessLookupError:
+            return True
+        except PermissionError:
+            return False
+        return False
 
     def unlock(self) -> None:
-        os.unlink(os.path.join(_local(self.folder), "lock"))
+        """Gives up the lock if this run still holds it."""
+        path = os.path.join(_local(self.folder), "lock")
+        try:
+            with open(path) as f:
+                mine = json.load(f).get("owner") == self._owner
+        except (FileNotFoundError, ValueError):
+            return
+        if mine:
+            os.unlink(path)
+
+    def vacuum(self) -> int:
+        """Deletes the versions that are no longer current; for when no reader uses them. Returns their number."""
+        kept, gone = set(self.versions().values()), 0
+        root = _local(self.folder)
+        for table in [t for t in os.listdir(root) if os.path.isdir(os.path.join(root, t))]:
+            for version in os.listdir(os.path.join(root, table)):
+                if version.startswith("v=") and f"{table}/{version}" not in kept:
+                    shutil.rmtree(os.path.join(root, table, version))
+                    gone += 1
+        return gone
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -150,7 +220,6 @@ def apply_files(catalog: Catalog, listing: DataFrame, reindex: bool = False, rem
     An error keeps the file's former state except for its message, which a later
     success clears.
     """
-    spark = catalog.spark
     manifest, chunks = catalog.read("manifest", MANIFEST), catalog.read("chunks", CHUNKS)
     listing = listing.cache()
     diff = manifest_diff(listing, manifest)
@@ -187,7 +256,6 @@ def apply_files(catalog: Catalog, listing: DataFrame, reindex: bool = False, rem
     catalog.publish({"manifest": noted.select(*names).unionByName(fresh.select(*names)), "chunks": chunks.join(replaced, "source_path", "left_anti").unionByName(made)})
     for df in (listing, hashes, actions, read):
         df.unpersist()
-    spark.catalog.clearCache()
     return summary
 
 
@@ -227,8 +295,17 @@ def _colons(schema: str) -> str:
 
 
 def import_base(lines: DataFrame, chunk_schema: str, base_id: str) -> DataFrame:
-    """The chunks of an exported base under a new base id; fails on lines of another shape."""
+    """The chunks of an exported base under a new base id, with ids of their own and without vectors.
+
+    Fails on lines of another shape: a chunk needs its source's id, name and
+    type, a location and a text. The new ids follow from the base and the old
+    ids, so that a repeated import gives the same rows.
+    """
     parsed = lines.select(F.from_json("value", f"schema string, base_name string, chunk struct<{_colons(chunk_schema)}>").alias("p"))
-    right = (F.col("p.schema") == PORTABLE) & F.col("p.chunk.text").isNotNull() & F.col("p.chunk.source_id").isNotNull()
+    needed = [c for c in ("source_id", "source_name", "source_type", "location", "text") if f"{c} " in f", {chunk_schema} "]
+    right = (F.col("p.schema") == PORTABLE) & F.col("p.base_name").isNotNull()
+    for c in needed:
+        right = right & F.col(f"p.chunk.{c}").isNotNull()
     checked = parsed.select(F.when(F.coalesce(right, F.lit(False)), F.col("p.chunk")).otherwise(F.raise_error(F.lit("not an exported base"))).alias("c"))
-    return checked.select("c.*").withColumn("base_id", F.lit(base_id)).withColumn("embedding", F.lit(None).cast("array<float>"))
+    renewed = F.substring(F.sha2(F.concat_ws("\x01", F.lit(base_id), "chunk_id"), 256), 1, 24)
+    return checked.select("c.*").withColumn("base_id", F.lit(base_id)).withColumn("chunk_id", renewed).withColumn("embedding", F.lit(None).cast("array<float>"))

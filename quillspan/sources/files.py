@@ -11,6 +11,8 @@ import io
 import json
 import os
 import re
+import shutil
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -144,13 +146,22 @@ def docx_segments(raw: bytes) -> list[Segment]:
         if text:
             out.append((text, f"parrafo {i}", None, None))
     for i, t in enumerate(body.findall(f"{_W}tbl"), 1):
-        rows = [" | ".join(_squeezed_lines("\n".join(said(p) for p in c.findall(f"{_W}p"))) for c in r.findall(f"{_W}tc")) for r in t.findall(f"{_W}tr")]
-        text = _squeezed_lines("\n".join(rows))
-        if text:
-            out.append((text, f"tabla {i}", None, None))
+        cells = [[_squeezed_lines("\n".join(said(p) for p in c.findall(f"{_W}p"))) for c in r.findall(f"{_W}tc")] for r in t.findall(f"{_W}tr")]
+        rows = [" | ".join(filter(None, row)) for row in cells if any(row)]
+        if rows:
+            out.append(("\n".join(rows), f"tabla {i}", None, None))
     return out
 
 
+def docx_blocks(raw: bytes) -> list[Segment]:
+    """Paragraphs and cells in the order of the document, as blocks."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    text = {f"{_W}t": lambda x: x.text or "", f"{_W}tab": lambda x: "\t", f"{_W}br": lambda x: "\n"}
+    paragraphs = ["".join(text[x.tag](x) for x in p.iter() if x.tag in text) for p in body.iter(f"{_W}p")]
+    return block_segments("\n\n".join(paragraphs))
+
+
 def record_segments(records: list, offset: int) -> list[Segment]:
     out: list[Segment] = []
     for i, record in enumerate(records):
@@ -166,8 +177,13 @@ def delimited_segments(text: str, separator: str) -> list[Segment]:
     rows = [r for r in csv.reader(io.StringIO(text), delimiter=separator) if any(c.strip() for c in r)]
     if not rows:
         return []
-    header = [h.strip() or "columna" for h in rows[0]]
-    return record_segments([dict(zip(header, r)) for r in rows[1:]], 2)
+    header: list[str] = []
+    for name in (h.strip() or "columna" for h in rows[0]):
+        again = sum(h == name or h.startswith(f"{name}_") for h in header)
+        header.append(f"{name}_{again}" if name in header else name)
+    # what a row has beyond the header comes under one further key
+    records = [dict(zip(header, r)) | ({"__parsed_extra": r[len(header) :]} if len(r) > len(header) else {}) for r in rows[1:]]
+    return record_segments(records, 2)
 
 
 def json_segments(text: str) -> list[Segment]:
@@ -190,26 +206,47 @@ def json_lines_segments(text: str) -> list[Segment]:
     return record_segments(values, 1)
 
 
+def _pages_by_fitz(raw: bytes) -> list[str]:
+    import fitz
+
+    with fitz.open(stream=raw, filetype="pdf") as doc:
+        return [p.get_text("text") for p in doc]
+
+
+def _pages_by_pypdf(raw: bytes) -> list[str]:
+    from pypdf import PdfReader
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages]
+
+
 def pdf_pages(raw: bytes) -> list[str]:
-    """The text of a PDF's pages; needs one of the optional libraries."""
-    try:
-        import fitz
-    except ImportError:
-        fitz = None
-    if fitz is not None:
-        with fitz.open(stream=raw, filetype="pdf") as doc:
-            return [p.get_text("text") for p in doc]
+    """The text of a PDF's pages; needs one of the optional libraries. What the first one fails of is read by the second."""
     try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs PyMuPDF or pypdf") from e
-    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages]
+        return _pages_by_fitz(raw)
+    except Exception:
+        try:
+            return _pages_by_pypdf(raw)
+        except ImportError as e:
+            raise RuntimeError("reading PDF needs PyMuPDF or pypdf") from e
 
 
 def pdf_segments(raw: bytes) -> list[Segment]:
     return [(clean, f"pagina {i}", None, None) for i, t in enumerate(pdf_pages(raw), 1) if (clean := _squeezed_lines(t))]
 
 
+#: A page with fewer letters and digits counts as a picture of text.
+LEAST_LETTERS = 40
+
+
+def pdf_page_segments(raw: bytes) -> list[Segment]:
+    """The pages that have a text of their own; an error if none has. Pictures of text are for ``merged_ocr``."""
+    pages = ((i, " ".join(t.split())) for i, t in enumerate(pdf_pages(raw), 1))
+    found = [(t, f"página {i}", None, None) for i, t in pages if sum(c.isalnum() for c in t) >= LEAST_LETTERS]
+    if not found:
+        raise ValueError("no page has a text of its own; its pages need recognition")
+    return found
+
+
 READERS: dict[str, dict[str, Callable[[bytes], list[Segment]]]] = {
     "desktop": {
         ".pdf": pdf_segments,
@@ -219,8 +256,8 @@ READERS: dict[str, dict[str, Callable[[bytes], list[Segment]]]] = {
         ".rtf": lambda raw: [(t, "contenido rtf", None, None) for t in [_squeezed_lines(rtf_text(decode(raw)))] if t],
     },
     "web": {
-        ".pdf": lambda raw: [(" ".join(t.split()), f"página {i}", None, None) for i, t in enumerate(pdf_pages(raw), 1) if t.strip()],
-        ".docx": lambda raw: block_segments("\n\n".join(s[0] for s in docx_segments(raw))),
+        ".pdf": pdf_page_segments,
+        ".docx": docx_blocks,
         ".txt": lambda raw: block_segments(decode(raw)),
         ".md": lambda raw: block_segments(decode(raw)),
         ".rtf": lambda raw: block_segments(" ".join(re.sub(r"[{}]", " ", re.sub(r"\\[a-zA-Z]+-?\d* ?", " ", re.sub(r"\\'[0-9a-fA-F]{2}", " ", decode(raw)))).split())),
@@ -239,9 +276,12 @@ READERS: dict[str, dict[str, Callable[[bytes], list[Segment]]]] = {
 def read_segments(listing: DataFrame, profile: str = "desktop") -> DataFrame:
     """The segments of every listed file; a file that can't be read gives one row with its error.
 
-    Unknown extensions give nothing in the desktop profile and an error in the web one.
+    Unknown extensions give nothing in the desktop profile and an error in the
+    web one, which refuses the whole listing if a file is too large.
     """
     readers = READERS[profile]
+    if profile == "web":
+        listing = refuse_large(listing)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in SEGMENTS.split(", ")]
@@ -266,6 +306,37 @@ def read_segments(listing: DataFrame, profile: str = "desktop") -> DataFrame:
     return listing.select("source_path").mapInPandas(read, SEGMENTS)
 
 
+def mirrored(listing: DataFrame, target: str, tries: int = 3) -> DataFrame:
+    """(source_path, target_path, error): every listed file copied below ``target``, where its size or time differs from the copy.
+
+    Nothing is deleted there. A copy is complete or isn't there at all; a file
+    that can't be copied after ``tries`` attempts gives its error.
+    """
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, relative in zip(batch["source_path"], batch["relative_path"]):
+                at, error = os.path.join(target, relative), None
+                for _ in range(tries):
+                    try:
+                        a = os.stat(path)
+                        b = os.stat(at) if os.path.exists(at) else None
+                        if b is None or (a.st_size, int(a.st_mtime)) != (b.st_size, int(b.st_mtime)):
+                            os.makedirs(os.path.dirname(at), exist_ok=True)
+                            part = f"{at}.{uuid.uuid4().hex}.part"
+                            shutil.copy2(path, part)
+                            os.replace(part, at)
+                        error = None
+                        break
+                    except OSError as e:
+                        error = f"{type(e).__name__}: {e}"
+                out.append((path, at, error))
+            yield pd.DataFrame(out, columns=["source_path", "target_path", "error"])
+
+    return listing.select("source_path", "relative_path").mapInPandas(copy, "source_path string, target_path string, error string")
+
+
 def pasted_source(spark: SparkSession, name: str, text: str) -> DataFrame:
     """Pasted text as segments of a source."""
     name = name.strip() or "Texto pegado"

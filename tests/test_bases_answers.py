@@ -29,6 +29,18 @@ def test_a_base_from_pasted_text(spark, tmp_path):
     assert [r.name for r in bases.list_bases(catalog).collect()] == [bases.DEFAULT_NAME]
 
 
+def test_the_first_start_and_the_last_base(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/c")
+    demo = bases.initialize(catalog)
+    assert bases.list_bases(catalog).first().name == bases.DEMO_NAME and catalog.read("base_chunks", bases.CHUNKS).count() == 4
+    other = bases.create_base(catalog, "otra")
+    assert bases.initialize(catalog) == other
+    bases.select_base(catalog, demo)
+    assert bases.initialize(catalog) == demo
+    with pytest.raises(KeyError):
+        bases.select_base(catalog, "none")
+
+
 def test_recognition_isolates_errors(spark):
     class Echo(Recogniser):
         def prepare(self, language):

@@ -33,17 +33,19 @@ def test_decoding_and_lines():
 def test_docx(tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
-    xml = f"<w:document {w}><w:body>{p('uno')}{p('')}{p('tres')}<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl></w:body></w:document>"
+    xml = f"<w:document {w}><w:body>{p('uno')}{p('')}{p('tres')}<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('')}</w:tc><w:tc>{p('b')}</w:tc></w:tr><w:tr><w:tc>{p('')}</w:tc><w:tc>{p(' ')}</w:tc></w:tr></w:tbl>{p('fin')}</w:body></w:document>"
     at = tmp_path / "x.docx"
     with zipfile.ZipFile(at, "w") as z:
         z.writestr("word/document.xml", xml)
-    assert [(s[0], s[1]) for s in files.docx_segments(at.read_bytes())] == [("uno", "parrafo 1"), ("tres", "parrafo 3"), ("a | b", "tabla 1")]
+    assert [(s[0], s[1]) for s in files.docx_segments(at.read_bytes())] == [("uno", "parrafo 1"), ("tres", "parrafo 3"), ("fin", "parrafo 4"), ("a | b", "tabla 1")]
+    assert [s[0] for s in files.docx_blocks(at.read_bytes())] == ["uno", "tres", "a", "b", "fin"]
 
 
 def test_tables_and_json():
     got = files.delimited_segments("tema,\nuno,https://x.y\n\n,\ndos,\n", ",")
     assert [(s[1], s[0]) for s in got] == [("fila 2", "tema: uno\ncolumna: https://x.y"), ("fila 3", "tema: dos")]
     assert got[0][2] == {"tema": "uno", "columna": "https://x.y"}
+    assert [s[0] for s in files.delimited_segments("a,a\n1,2,3,4\n", ",")] == ["a: 1\na_1: 2\n__parsed_extra: 3; 4"]
     assert files.json_segments('{"n": 1, "items": [{"a": {"b": 1.0}}, {}]}')[0][0] == "a.b: 1"
     assert files.json_segments("3")[0][:2] == ("3", "valor JSON")
     with pytest.raises(ValueError, match="line 2"):
@@ -103,6 +105,100 @@ def test_sync_twice_then_change_and_remove(spark, tmp_path):
         sync.sync_index(spark, str(root), index)
 
 
+def test_a_lock_that_was_left_behind(spark, tmp_path):
+    import subprocess
+
+    write(tmp_path / "docs/a.txt", "uno")
+    index = f"file://{tmp_path}/index"
+    catalog = sync.Catalog(spark, index)
+    catalog.lock()
+    at = tmp_path / "index/lock"
+    held = json.loads(at.read_text())
+    ended = subprocess.Popen(["true"])
+    ended.wait()
+    for left in (held | {"pid": ended.pid}, held | {"since": held["since"] - 2 * sync.STALE_AFTER}, held | {"host": "elsewhere", "since": 0}):
+        at.write_text(json.dumps(left))
+        sync.sync_index(spark, str(tmp_path / "docs"), index)
+        assert not at.exists()
+    for now in (held, held | {"host": "elsewhere", "pid": ended.pid}):
+        at.write_text(json.dumps(now))
+        with pytest.raises(FileExistsError):
+            sync.sync_index(spark, str(tmp_path / "docs"), index)
+    sync.Catalog(spark, index).unlock()
+    assert at.exists()  # another's lock stays
+
+
+def test_old_versions_go_and_the_cache_stays(spark, tmp_path):
+    write(tmp_path / "docs/a.txt", "uno")
+    index = f"file://{tmp_path}/index"
+    mine = spark.range(3).cache()
+    mine.count()
+    for _ in range(3):
+        sync.sync_index(spark, str(tmp_path / "docs"), index)
+    assert mine.storageLevel.useMemory and spark._jsparkSession.sharedState().cacheManager().lookupCachedData(mine._jdf).isDefined()
+    mine.unpersist()
+    catalog = sync.Catalog(spark, index)
+    assert catalog.vacuum() == 4 and catalog.vacuum() == 0
+    assert [r.text for r in catalog.read("chunks", sync.CHUNKS).collect()] == ["uno"]
+
+
+def test_a_large_file_refuses_the_batch(spark, tmp_path, monkeypatch):
+    write(tmp_path / "a.txt", "uno")
+    listing = files.list_files(spark, str(tmp_path))
+    assert files.read_segments(listing, "web").first().text == "uno"
+    with pytest.raises(ValueError, match="a.txt"):
+        files.read_segments(listing.withColumn("size", F.lit(files.LARGEST_FILE + 1)), "web")
+
+
+def test_pages_of_a_pdf(monkeypatch):
+    def broken(raw):
+        raise ValueError("damaged")
+
+    monkeypatch.setattr(files, "_pages_by_fitz", broken)
+    monkeypatch.setattr(files, "_pages_by_pypdf", lambda raw: ["una página  con\ntexto propio " * 3, "12", ""])
+    assert [s[1] for s in files.pdf_page_segments(b"")] == ["página 1"] and [s[1] for s in files.pdf_segments(b"")] == ["pagina 1", "pagina 2"]
+    monkeypatch.setattr(files, "_pages_by_pypdf", lambda raw: ["12"])
+    with pytest.raises(ValueError, match="recognition"):
+        files.pdf_page_segments(b"")
+
+
+def test_mirrored_files(spark, tmp_path):
+    for name in ("a.txt", "b/c.md"):
+        write(tmp_path / "from" / name, name)
+    write(tmp_path / "to/old.txt", "stays")
+    listing = files.list_files(spark, str(tmp_path / "from"))
+    for _ in range(2):
+        assert [r.error for r in files.mirrored(listing, str(tmp_path / "to")).collect()] == [None, None]
+    assert sorted(str(x.relative_to(tmp_path / "to")) for x in (tmp_path / "to").rglob("*.*")) == ["a.txt", "b/c.md", "old.txt"]
+    (tmp_path / "from/a.txt").unlink()
+    assert sorted(r.error is None for r in files.mirrored(listing, str(tmp_path / "to")).collect()) == [False, True]
+
+
+def test_cancelled_work_changes_nothing(spark, tmp_path):
+    import threading
+    import time
+
+    from quillspan.plans.cancel import cancellable
+
+    catalog = sync.Catalog(spark, f"file://{tmp_path}/c")
+    catalog.publish({"t": spark.range(1)})
+
+    def slow(batches):
+        import time
+
+        for b in batches:
+            time.sleep(20)
+            yield b
+
+    with cancellable(spark, "slow") as work:
+        threading.Thread(target=lambda: (time.sleep(3), work.cancel())).start()
+        began = time.time()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            catalog.publish({"t": spark.range(5).mapInPandas(slow, "id bigint")})
+        assert time.time() - began < 15 and work.cancelled
+    assert catalog.read("t", "id bigint").count() == 1
+
+
 def test_watched_folder(spark, tmp_path):
     from quillspan.streaming.ingest import watch_folder
 
@@ -118,7 +214,7 @@ def test_base_round_trip(spark):
     lines = sync.export_base(df, "b1", "mi base")
     assert "embedding" not in json.loads(lines.first().value)["chunk"]
     back = sync.import_base(lines, schema, "b2").first()
-    assert (back.text, back.base_id, back.embedding) == ("t", "b2", None)
+    assert (back.text, back.base_id, back.embedding) == ("t", "b2", None) and back.chunk_id != "1"
     with pytest.raises(Exception, match="not an exported base"):
         sync.import_base(spark.createDataFrame([("{}",)], "value string"), schema, "b").collect()
 
