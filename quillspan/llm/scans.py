@@ -20,8 +20,10 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.plans.lineage import stored
 
@@ -33,13 +35,6 @@ _PAGES_TOGETHER = 64
 #: Misread words are broadcast up to this number, else joined by a shuffle.
 MOST_BROADCAST = 100_000
 
-# What a scanner reads for what stands there.
-CONFUSIONS = (
-    ("c", "e"), ("e", "c"), ("!", "i"), ("!", "í"), ("!", "l"), ("0", "o"), ("0", "ó"), ("0", "O"), ("€", "e"), ("€", "é"), ("ri", "n"), ("f", "t"), ("f", "í"), ("d", "cl"), ("m", "rn"), ("h", "li"), ("u", "ii"), ("n", "ri"),
-    ("@", "a"), ("@", "á"), ("4", "A"), ("4", "a"), ("5", "s"), ("5", "S"), ("|", "r"), ("|", "l"), ("|", "i"), ("|", "I"), ("I", "l"), ("l", "I"), ("1", "l"), ("1", "i"), ("1", "I"),
-    ("ii", "u"), ("ü", "ú"), ("ii", "ú"), ("li", "u"), ("cl", "d"), ("rn", "m"), ("nn", "m"), ("6", "b"), ("6", "ó"), ("9", "g"), ("8", "B"), ("y", "v"), ("v", "y"), ("vv", "w"), ("li", "h"), ("h", "b"),
-    ("t", "f"), ("$", "s"), ("£", "e"), ("3", "e"), ("7", "t"), ("2", "z"), ("q", "g"), ("ni", "m"), ("in", "m"), ("lc", "k"),
-)
 _ODD = re.compile(r"[a-zà-ÿ][0-9!€@|$£][a-zà-ÿ]|^[0-9!€@|$£][a-zà-ÿ]{2,}|[a-zà-ÿ]{2,}[0-9€@|$£]$")
 _FORMULA = re.compile(r"^(?:[A-Z][a-z]?\d*)+$|^\d+[A-Za-z]{1,2}$|^[a-z]\d+$|^\d+(?:[.,:/-]\d+)*\w?$|^[A-Z]+\d+$")
 
@@ -49,9 +44,12 @@ _NUMBER = re.compile(
     rf"^(?:{_LABEL}{_DIGIT_RUN}|[-–—]\s*{_LABEL}{_DIGIT_RUN}\s*[-–—]|\[\s*{_LABEL}{_DIGIT_RUN}\s*\]|\(\s*{_LABEL}{_DIGIT_RUN}\s*\))$", re.IGNORECASE
 )
 _DIGITS = str.maketrans("lIOoSBZ|!", "110058211")
+_ROMAN = re.compile(rf"^(?:{_LABEL}|[-–—\[(]\s*{_LABEL})((?=[ivxlc])c{{0,3}}(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}}))(?:\s*[-–—\])])?$", re.IGNORECASE)
+_ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _HYPHEN = re.compile(r"([^\W\d_])([-­¬‐‑])[ \t\r]*$")
 #: The same lines for Java, whose classes are those of ASCII.
-_HYPHEN_JAVA = r"[\p{L}\p{Nl}\p{No}][-­¬‐‑][ \t\r]*\z"
+_HYPHEN_JAVA = r"[\p{L}\p{Nl}\p{No}]([-­¬‐‑])[ \t\r]*\z"
+_BLANKS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _EDGE_IN_WORD = re.compile(r"^[^\w!€@|$£]+|[^\w€@|$£]+$")
 _LOWER_START = re.compile(r"^[a-zà-öø-ÿ]")
 
@@ -65,19 +63,23 @@ def line_key(line: str) -> str:
     return re.sub(r"[^a-z]+", " ", fold(line)).strip()
 
 
-def page_number(line: str) -> int | None:
-    """The number of a line that holds only a page number, misread digits included."""
+def page_numbers(line: str) -> tuple[int, ...]:
+    """What the number may be of a line that holds only a page number: in Roman numerals, or in digits, misread ones included."""
     bare = line.strip()
+    found = []
+    roman = _ROMAN.match(bare) if len(bare) <= 24 else None
+    if roman and (roman.group(1).islower() or roman.group(1).isupper()):
+        values = [_ROMAN_VALUES[c] for c in roman.group(1).lower()]
+        found.append(sum(-v if v < w else v for v, w in zip(values, [*values[1:], 0])))
     match = _NUMBER.match(bare)
-    if not match:
-        return None
-    digits = next(g for g in match.groups() if g)
-    if not any(c.isdigit() for c in digits) and digits == bare and len(bare) > 2:
-        return None
-    try:
-        return int(digits.translate(_DIGITS))
-    except ValueError:
-        return None
+    if match:
+        digits = next(g for g in match.groups() if g)
+        if any(c.isdigit() for c in digits) or digits != bare or len(bare) <= 2:
+            try:
+                found.append(int(digits.translate(_DIGITS)))
+            except ValueError:
+                pass
+    return tuple(dict.fromkeys(found))
 
 
 def _may_run(line: str) -> bool:
@@ -99,11 +101,8 @@ def _features(lines: list[str], number: int | None, headers: dict[str, int], shi
     for k, i in enumerate(filled):
         line = lines[i].strip()
         place = 0 if k == 0 else 4 if k == n - 1 else 1 if k == 1 else 3 if k == n - 2 else 2
-        shown = page_number(line)
-        if shown is None:
-            numeric = 0
-        else:
-            numeric = 2 if number is not None and (shown - number) in shifts else 1
+        shown = page_numbers(line)
+        numeric = 0 if not shown else 2 if number is not None and any(x - number in shifts for x in shown) else 1
         repeated = 0
         if place != 2 and _may_run(line):
             repeated = headers.get(line_key(line), 0)
@@ -203,9 +202,8 @@ def _with_edges(pages: DataFrame) -> DataFrame:
                 at_edge, found = set(_edge_lines(lines)), set()
                 for i, x in enumerate(lines):
                     line = x.strip()
-                    shown = page_number(line)
-                    if shown is not None and pd.notna(number):
-                        found.add(("n" if i in at_edge else "m", str(shown - int(number))))
+                    if pd.notna(number):
+                        found.update(("n" if i in at_edge else "m", str(shown - int(number))) for shown in page_numbers(line))
                     if i in at_edge and _may_run(line):
                         key = line_key(line)
                         if len(key) >= 3:
@@ -389,10 +387,6 @@ def word_of(token: str) -> str:
     return word.lower()
 
 
-def _text_lines(lines) -> list:
-    return [x for x in lines if x["state"] in ("body", "heading")]
-
-
 def with_next_line(labelled: DataFrame) -> DataFrame:
     """Pages that end in a divided word with the first body line of the next page of the scan that has one, however far on.
 
@@ -416,89 +410,162 @@ def with_next_line(labelled: DataFrame) -> DataFrame:
     return labelled.join(following, "page_id", "left").join(continued, "page_id", "left")
 
 
-_WORDS = "page_id bigint, line_no int, word string, cut int, page_b bigint, line_b int, compound string, mark string, half string, rest string"
+#: The beginning of a line that may be the second half of a word, for Java.
+_GOES_ON = rf"^{_BLANKS[:-1]}*+(?:[a-zà-öø-ÿ]|[!€@|$£0-9][a-zà-ÿ])"
+
+
+def _body_lines(labelled: DataFrame) -> DataFrame:
+    """The body lines of all pages with their tokens, without the halves of divided words; ``joined`` has these halves.
+
+    (page_id, line_no, tokens, joined struct<page_b, line_b, a, b, mark>); the two
+    halves are tokens of two lines that follow one another, on the page or
+    over its end.
+    """
+    body = F.filter("lines", lambda x: x["state"].isin("body", "heading"))
+    over = F.struct(F.col("next.next_page").alias("page_id"), F.col("next.next_no").alias("no"), F.col("next.next_text").alias("text"))
+
+    def with_neighbours(x: F.Column, i: F.Column) -> F.Column:
+        y = F.get("body", i + 1)
+        after = F.when(y.isNotNull(), F.struct(F.col("page_id"), y["no"].alias("no"), y["text"].alias("text"))).when(F.col("next").isNotNull(), over)
+        return F.struct(x["no"].alias("no"), x["text"].alias("text"), i.alias("place"), F.when(i > 0, F.get("body", i - 1)["text"]).alias("before"), after.alias("after"))
+
+    x = labelled.withColumn("body", body).select("page_id", "continued", F.explode(F.transform("body", with_neighbours)).alias("line"))
+    x = x.select("page_id", "continued", "line.*")
+
+    def goes_on(text: F.Column) -> F.Column:
+        return text.rlike(_GOES_ON)
+
+    def divided(text: F.Column, following: F.Column) -> F.Column:
+        return F.coalesce(text.rlike(_HYPHEN_JAVA) & goes_on(following), F.lit(False))
+
+    text = F.col("text")
+    # the rest of a word from the line or page before is no word of its own
+    rest = F.when(F.col("place") > 0, divided(F.col("before"), text)).otherwise(F.coalesce(F.col("continued") & goes_on(text), F.lit(False)))
+    x = x.select("page_id", F.col("no").alias("line_no"), "text", F.array_remove(F.split(text, _BLANKS), "").alias("tokens"), rest.cast("int").alias("rest"), divided(text, F.col("after.text")).alias("divided"), "after")
+    x = x.withColumn("divided", F.col("divided") & (F.size("tokens") > F.col("rest")))
+    half = F.regexp_replace(F.regexp_replace(F.element_at("tokens", -1), "[-­¬‐‑]$", ""), r"(?U)^[^\w!€@|$£]+", "")
+    other = F.regexp_replace(F.regexp_extract("after.text", rf"^{_BLANKS[:-1]}*(.*?)(?:{_BLANKS[:-1]}|\z)", 1), r"(?U)[^\w€@|$£]+$", "")
+    mark = F.regexp_extract("text", _HYPHEN_JAVA, 1)
+    joined = F.when(F.col("divided"), F.struct(F.col("after.page_id").alias("page_b"), F.col("after.no").alias("line_b"), half.alias("a"), other.alias("b"), mark.alias("mark")))
+    whole = F.slice("tokens", F.col("rest") + 1, F.greatest(F.lit(0), F.size("tokens") - F.col("rest") - F.col("divided").cast("int")))
+    return x.select("page_id", "line_no", whole.alias("tokens"), joined.alias("joined"))
 
 
-def _goes_on(line: str) -> bool:
-    """Whether a line may begin with the second half of a word."""
-    first = line.split()[:1]
-    return bool(first and (_LOWER_START.match(first[0]) or re.match(r"[!€@|$£0-9][a-zà-ÿ]", first[0])))
+_HALVES = "page_id bigint, line_no int, page_b bigint, line_b int, mark string, cut int, word string, compound string, half string, rest string"
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of the body lines; a word that goes on in another line comes as a row with both places."""
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words that two halves make, with and without the hyphen."""
+    for batch in batches:
+        pairs = list(zip(batch["a"], batch["b"]))
+        out = batch[["page_id", "line_no", "page_b", "line_b", "mark"]].copy()
+        out["cut"] = [len(a) for a, _ in pairs]
+        out["word"], out["compound"] = [word_of(a + b) for a, b in pairs], [word_of(f"{a}-{b}") for a, b in pairs]
+        out["half"], out["rest"] = [word_of(a) for a, _ in pairs], [word_of(b) for _, b in pairs]
+        yield out
+
+
+@F.pandas_udf(T.StringType())
+def _word_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for tokens in batches:
+        yield tokens.map(word_of)
+
+
+#: A word of which misreadings are sought occurs so often, the right one of a misread word that has no odd sign so often, and by so much more often.
+LEAST_KNOWN, LEAST_RIGHT, TIMES = 72, 6, 12
+#: Pairs of words that show a confusion, and which share of those that its rate lets expect.
+LEAST_PAIRS, SHARE_OF_EXPECTED = 4, 0.5
+#: What is longer counts as no word of a language.
+LONGEST_WORD = 64
+_SIGN = re.compile(r"[0-9!€@|$£]")
+
+Confusions = dict[str, list[tuple[str, bool]]]
+
+
+def _holes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every word with one or two characters taken out, at each place: the hash of what is left, and what was taken."""
     for batch in batches:
         out = []
-        for row in batch.itertuples(index=False):
-            body = _text_lines(row.lines)
-            # the rest of a word from the line or page before is no word of its own
-            begun_with = body[0]["no"] if body and row.continued and _goes_on(body[0]["text"]) else None
-            for i, line in enumerate(body):
-                tokens = line["text"].split()
-                nxt = None
-                if i + 1 < len(body):
-                    nxt = (row.page_id, body[i + 1]["no"], body[i + 1]["text"], body[i + 1]["no"] == line["no"] + 1)
-                elif row.next is not None:
-                    nxt = (row.next["next_page"], row.next["next_no"], row.next["next_text"], True)
-                divided = _HYPHEN.search(line["text"])
-                if begun_with == line["no"]:
-                    tokens = tokens[1:]
-                if divided and nxt and tokens:
-                    rest = nxt[2].split()[:1]
-                    if _goes_on(nxt[2]):
-                        a, b = re.sub(r"[-­¬‐‑]$", "", tokens[-1]), rest[0]
-                        a = re.sub(r"^[^\w!€@|$£]+", "", a)
-                        b = re.sub(r"[^\w€@|$£]+$", "", b)
-                        joined = word_of(a + b)
-                        out.append((row.page_id, line["no"], joined, len(a), nxt[0], nxt[1], word_of(f"{a}-{b}"), divided.group(2), word_of(a), word_of(b)))
-                        tokens = tokens[:-1]
-                        begun_with = nxt[1] if nxt[0] == row.page_id else None
-                out += [(row.page_id, line["no"], w, None, None, None, None, None, None, None) for w in map(word_of, tokens) if len(w) > 1]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _WORDS.split(", ")])
-        for c in ("cut", "page_b", "line_b"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        for word, n in zip(batch["word"], batch["n"]):
+            size = len(word)
+            for i in range(size):
+                for j in (i + 1, i + 2):
+                    if j <= size:
+                        out.append((xxhash.xxh3_64_intdigest(f"{word[:i]}\0{word[j:]}") - 2**63, word[i:j], i == 0, word, n))
+        yield pd.DataFrame(out, columns=["hole", "part", "first", "word", "n"])
+
+
+def learnt_confusions(counts: DataFrame) -> Confusions:
+    """What the scans of this corpus have misread: read characters, and for these the right ones and whether only at the beginning of words.
+
+    A rare word that differs from a much more frequent one by one or two
+    characters shows a possible confusion. Misreading strikes all words alike:
+    given how often it happens, one can tell in how many frequent words it
+    should have been seen by now. A difference between words of the language
+    is found in far fewer and doesn't count, unless it puts a sign or a digit
+    inside a word, which no language does. Only the accepted confusions, pairs of
+    one or two characters, come to the driver.
+    """
+    letters = F.length(F.regexp_replace("word", r"\P{L}", ""))
+    words = counts.filter((letters >= 2) & F.length("word").between(3, LONGEST_WORD))
+    holes = stored(words.mapInPandas(_holes, "hole bigint, part string, first boolean, word string, n bigint"), "holes")
+    known = holes.filter((F.col("n") >= LEAST_KNOWN) & ~F.col("word").rlike(_SIGN.pattern)).select("hole", F.col("part").alias("right"), F.col("first").alias("at_first"), F.col("word").alias("known"), F.col("n").alias("n_known"))
+    x, y = F.col("part"), F.col("right")
+    ends_alike = (F.substring(x, 1, 1) == F.substring(y, 1, 1)) | (F.substring(x, -1, 1) == F.substring(y, -1, 1))
+    shortest = ~(ends_alike & ((F.length(x) > 1) | (F.length(y) > 1)) & (F.greatest(F.length(x), F.length(y)) > 1))
+    met = holes.join(known, "hole").filter((x != y) & (F.col("n_known") >= TIMES * F.col("n")) & shortest)
+    shown = met.groupBy("part", "right", "first").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("often"))
+    level = F.floor(F.log2("n_known"))
+    sites = known.groupBy("right", F.col("at_first").alias("first"), level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n_known").alias("mass"))
+    rate = shown.join(sites.groupBy("right", "first").agg(F.sum("mass").alias("mass")), ["right", "first"]).withColumn("rate", F.col("often") / F.col("mass")).drop("mass")
+    hoped = F.sum(F.col("words") * (1 - F.exp(-F.col("rate") * F.col("mass") / F.col("words"))))
+    judged = rate.join(sites, ["right", "first"]).groupBy("part", "right", "first", "pairs").agg(hoped.alias("expected"))
+    good = judged.filter(F.col("part").rlike(_SIGN.pattern) | ((F.col("pairs") >= LEAST_PAIRS) & (F.col("pairs") >= SHARE_OF_EXPECTED * F.col("expected"))))
+    found: Confusions = {}
+    for r in good.groupBy("part", "right").agg(F.bool_and("first").alias("first")).orderBy("part", "right").collect():
+        found.setdefault(r["part"], []).append((r["right"], r["first"]))
+    return found
 
 
-def corrections(word: str) -> list[tuple[str, int]]:
-    """Words from which usual confusions lead to ``word``, with the place of the first one."""
+def corrections(word: str, confusions: Confusions) -> list[tuple[str, int]]:
+    """Words from which confusions lead to ``word``, with the place of the first one."""
     found: dict[str, int] = {}
     frontier = {word: 99}
     for _ in range(2):
         grown: dict[str, int] = {}
         for w, first in frontier.items():
-            for wrong, right in CONFUSIONS:
-                at = w.find(wrong)
-                while at >= 0:
-                    v = w[:at] + right + w[at + len(wrong) :]
-                    if v.lower() != word.lower() and v not in found:
-                        found[v] = min(first, at)
-                        grown[v] = min(first, at)
-                    at = w.find(wrong, at + 1)
+            for at in range(len(w)):
+                for part in (w[at : at + 1], w[at : at + 2]):
+                    for right, only_first in confusions.get(part, ()):
+                        v = w[:at] + right + w[at + len(part) :]
+                        if (at == 0 or not only_first) and v.lower() != word.lower() and v not in found:
+                            found[v] = grown[v] = min(first, at)
         # a second confusion only where the first one was plain to see
-        frontier = grown if re.search(r"[0-9!€@|$£]", word) else {}
+        frontier = {v: at for v, at in grown.items() if _SIGN.search(v)} if _SIGN.search(word) else {}
     return [(v.lower(), at) for v, at in found.items() if not re.search(r"[!€@|$£]|[a-zà-ÿ][0-9]|[0-9][a-zà-ÿ]", v)]
 
 
 def misread_words(counts: DataFrame) -> DataFrame:
     """(word, right, place) of the words that are wrongly read.
 
-    A frequent word must lead to it by usual confusions, and be so much more
-    frequent that the other can't be a word of its own. Signs and digits inside
-    small letters are no spelling at all, whatever the word.
+    A frequent word must lead to it by confusions that the corpus shows, and be
+    so much more frequent that the other can't be a word of its own. Signs and
+    digits inside small letters are no spelling at all, whatever the word.
     """
+    sent = counts.sparkSession.sparkContext.broadcast(learnt_confusions(counts))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        confusions = sent.value
         for batch in batches:
             out = []
             for word, n in zip(batch["word"], batch["n"]):
                 letters = sum(c.isalpha() for c in word)
-                if letters < 1 or len(word) < 2 or "-" in word and len(word) > 30:
+                if letters < 1 or not 2 <= len(word) <= LONGEST_WORD:
                     continue
                 odd = bool(_ODD.search(word)) and not _FORMULA.match(word) and letters >= 2
                 if odd:
-                    out.append((word, n, None, re.search(r"[0-9!€@|$£]", word).start(), True))
-                out += [(word, n, v, at, odd) for v, at in corrections(word)]
+                    out.append((word, n, None, _SIGN.search(word).start(), True))
+                out += [(word, n, v, at, odd) for v, at in corrections(word, confusions)]
             frame = pd.DataFrame(out, columns=["word", "n", "right", "place", "odd"])
             frame["odd"] = frame["odd"].astype(bool)
             yield frame
@@ -506,7 +573,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
     tried = counts.mapInPandas(judge, "word string, n bigint, right string, place int, odd boolean")
     known = counts.select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     met = tried.filter("right is not null").join(known, "right")
-    enough = F.when(F.col("odd"), F.col("n_right") >= 1).otherwise((F.col("n_right") >= 6) & (F.col("n_right") >= 12 * F.col("n")) & (F.length("word") > 2))
+    enough = F.when(F.col("odd"), F.col("n_right") >= 1).otherwise((F.col("n_right") >= LEAST_RIGHT) & (F.col("n_right") >= TIMES * F.col("n")) & (F.length("word") > 2))
     good = met.filter(enough).groupBy("word").agg(F.max_by(F.struct("right", "place"), F.struct("n_right", "right")).alias("b"))
     good = good.select("word", F.col("b.right").alias("right"), F.col("b.place").alias("place"))
     plain = tried.filter("right is null and odd").select("word", "place").join(good.select("word"), "word", "left_anti")
@@ -515,10 +582,13 @@ def misread_words(counts: DataFrame) -> DataFrame:
 
 def judged_words(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The divided words (page_id, line_no, word, ..., divided) and the misread ones (page_id, line_no, word, right)."""
-    words = stored(with_next_line(labelled).select("page_id", "lines", "next", "continued").mapInPandas(_words, _WORDS), "words")
-    whole = words.filter("cut is null")
-    counts = stored(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
-    split = words.filter("cut is not null")
+    lines = stored(_body_lines(with_next_line(labelled)), "body_lines")
+    plain = lines.select("page_id", "line_no", F.explode("tokens").alias("token"))
+    # each spelling is looked at once, however often it occurs
+    spelt = plain.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("word", _word_udf("token")).filter(F.length("word") > 1)
+    spelt = stored(spelt, "spelt")
+    counts = stored(spelt.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    split = lines.filter("joined is not null").select("page_id", "line_no", "joined.*").mapInPandas(_halves, _HALVES)
 
     def count_of(column: str) -> DataFrame:
         return counts.select(F.col("word").alias(column), F.col("n").alias(f"n_{column}"))
@@ -533,12 +603,13 @@ def judged_words(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     together = tested.select(F.when(F.col("divided"), F.col("word")).otherwise(F.col("compound")).alias("word"), "page_id", "line_no", F.when(F.col("divided"), F.col("cut")).otherwise(F.col("cut") + 1).alias("cut"), "page_b", "line_b")
     every = counts.unionByName(together.groupBy("word").agg(F.count(F.lit(1)).alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
     wrong = stored(misread_words(every), "misread")
-    if wrong.count() <= MOST_BROADCAST:
-        wrong = F.broadcast(wrong)
-    placed = whole.select("word", "page_id", "line_no", F.lit(None).cast("int").alias("cut"), "page_b", "line_b").unionByName(together).join(wrong, "word")
-    second = F.col("cut").isNotNull() & (F.col("place") >= F.col("cut"))
-    misread = placed.select(F.when(second, F.col("page_b")).otherwise(F.col("page_id")).alias("page_id"), F.when(second, F.col("line_b")).otherwise(F.col("line_no")).cast("int").alias("line_no"), "word", "right")
-    return tested, misread
+    tokens = stored(spelt.join(wrong, "word").select("token", "word", "right"), "misread_tokens")
+    few = tokens.count() <= MOST_BROADCAST
+    misread = plain.join(F.broadcast(tokens) if few else tokens, "token").select("page_id", "line_no", "word", "right")
+    halves = together.join(F.broadcast(wrong) if few else wrong, "word")
+    second = F.col("place") >= F.col("cut")
+    of_half = halves.select(F.when(second, F.col("page_b")).otherwise(F.col("page_id")).alias("page_id"), F.when(second, F.col("line_b")).otherwise(F.col("line_no")).cast("int").alias("line_no"), "word", "right")
+    return tested, misread.unionByName(of_half)
 
 
 def page_noise(pages: DataFrame) -> DataFrame:
@@ -619,8 +690,9 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
 
     Headers, footers and page numbers are gone, divided words whole, misread
     words put right where a corpus word is known; a paragraph goes on over the
-    page end if its sentence does. Blank and null pages have none. Order and
-    numbers come from sums over runs of _PAGES_TOGETHER pages, and each run takes
+    page end if its sentence does. Blank and null pages have none. A page
+    without a scan or a page number stands alone: its paragraphs are numbered
+    from 1, within the page. Order and numbers come from sums over runs of _PAGES_TOGETHER pages, and each run takes
     from the one before whether its sentence has ended: never a whole scan in
     one task.
     """
@@ -630,19 +702,23 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     joins = divided.filter("divided").groupBy("page_id").agg(F.collect_set("line_no").alias("joins"))
     full = labelled.join(fixes, "page_id", "left").join(joins, "page_id", "left")
     parts = stored(full.select("page_id", "scan_id", "page_number", "lines", "fixes", "joins").mapInPandas(_page_paragraphs, _PARAGRAPHS), "paragraphs")
-    run = F.floor(F.coalesce("page_number", F.lit(0)) / _PAGES_TOGETHER)
-    within = Window.partitionBy("scan_id", "run").orderBy("page_number", "page_id", "place")
+    # a page without a scan or a number is followed by none
+    alone = F.col("scan_id").isNull() | F.col("page_number").isNull()
+    parts = parts.withColumn("alone", F.when(alone, F.col("page_id"))).withColumn("run", F.when(alone, 0).otherwise(F.floor(F.col("page_number") / _PAGES_TOGETHER)))
+    unit = ["scan_id", "alone"]
+    within = Window.partitionBy(*unit, "run").orderBy("page_number", "page_id", "place")
     before = F.lag("ends").over(within)
     # whether a run's first row begins a paragraph is known from the run before; until then it counts as none
     begins = F.when(before.isNull(), False).otherwise((F.col("place") > 0) | before)
-    marked = parts.withColumn("run", run).withColumn("b", begins.cast("int")).withColumn("inner", F.sum("b").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = marked.groupBy("scan_id", "run").agg(F.sum("b").alias("n"), F.max_by("ends", F.struct("page_number", "page_id", "place")).alias("ends"))
-    runs = Window.partitionBy("scan_id").orderBy("run")
+    marked = parts.withColumn("b", begins.cast("int")).withColumn("inner", F.sum("b").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = marked.groupBy(*unit, "run").agg(F.sum("b").alias("n"), F.max_by("ends", F.struct("page_number", "page_id", "place")).alias("ends"))
+    runs = Window.partitionBy(*unit).orderBy("run")
     totals = totals.withColumn("first", F.coalesce(F.lag("ends").over(runs), F.lit(True)).cast("int"))
     ahead = F.sum(F.col("n") + F.col("first")).over(runs.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    offsets = totals.select(F.col("scan_id").alias("s"), F.col("run").alias("r"), ahead.alias("ahead"))
-    numbered = marked.join(offsets, F.col("scan_id").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r"))).withColumn("paragraph_no", (F.col("ahead") + F.col("inner")).cast("int"))
+    offsets = totals.select(F.col("scan_id").alias("s"), F.col("alone").alias("a"), F.col("run").alias("r"), ahead.alias("ahead"))
+    same = F.col("scan_id").eqNullSafe(F.col("s")) & F.col("alone").eqNullSafe(F.col("a")) & (F.col("run") == F.col("r"))
+    numbered = marked.join(offsets, same).withColumn("paragraph_no", (F.col("ahead") + F.col("inner")).cast("int"))
     pieces = F.array_sort(F.collect_list(F.struct("page_number", "page_id", "place", "text")))
-    made = numbered.groupBy("scan_id", "paragraph_no").agg(pieces.alias("p"))
+    made = numbered.groupBy(*unit, "paragraph_no").agg(pieces.alias("p"))
     text = F.replace(F.replace(F.array_join(F.transform("p", lambda x: x["text"]), " "), F.lit("\x02 "), F.lit("")), F.lit("\x02"), F.lit(""))
     return made.select("scan_id", "paragraph_no", F.get("p", F.lit(0))["page_id"].alias("page_id"), text.alias("text"))

@@ -228,9 +228,55 @@ def test_pages_without_text(spark):
     assert scans.page_noise(spark.createDataFrame([(1, "s", None, None, None, None), (2, None, 3, "", None, None)], PAGES)).count() == 0
 
 
-@pytest.mark.parametrize(("line", "number"), [("12", 12), ("- l9 -", 19), ("[3]", 3), ("Pág. 7", 7), ("Page 88", 88), ("213).", None), ("(B99).", None), ("palabra", None), ("12 LA GUERRA", None)])
-def test_page_numbers(line, number):
-    assert scans.page_number(line) == number
+@pytest.mark.parametrize(
+    ("line", "numbers"),
+    [("12", (12,)), ("- l9 -", (19,)), ("[3]", (3,)), ("Pág. 7", (7,)), ("Page 88", (88,)), ("213).", ()), ("(B99).", ()), ("palabra", ()), ("12 LA GUERRA", ()), ("vii", (7,)), ("- xiv -", (14,)), ("XL", (40,)), ("I", (1,)), ("iiii", ()), ("mil", ()), ("Vi", ()), ("p. ix", (9,)), ("II", (2, 11)), ("", ())],
+)
+def test_page_numbers(line, numbers):
+    assert scans.page_numbers(line) == numbers
+
+
+def test_confusions_are_learnt_from_the_corpus(spark):
+    rng = random.Random(9)
+    syllables = ["ma", "te", "ri", "so", "lu", "ca", "do", "ne", "pa", "vi"]
+    known = {"".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))): rng.randint(100, 900) for _ in range(150)}
+    counts = dict(known)
+    for w, n in known.items():
+        for i, c in enumerate(w):
+            if c == "e" and n > 200:  # e is read as c wherever it stands
+                counts.setdefault(w[:i] + "c" + w[i + 1 :], rng.randint(1, 3))
+        if w.endswith("o") and n > 850:  # a few words have a rare form of their own
+            counts.setdefault(w[:-1] + "a", 40)
+    some = max(w for w in known if "a" in w and len(w) > 5)
+    counts[some.replace("a", "@", 1)] = 1
+    df = spark.createDataFrame([*counts.items(), ("12", 900), ("x" * 500, 800), ("y", 1000)], "word string, n bigint")
+    learnt = scans.learnt_confusions(df)
+    assert ("e", False) in learnt["c"] and ("a", False) in learnt["@"]
+    assert "o" not in [r for r, _ in learnt.get("a", [])]
+    wrong = {r.word: r.right for r in scans.misread_words(df).collect()}
+    assert wrong[some.replace("a", "@", 1)] == some and not set(known) & set(wrong)
+    assert scans.learnt_confusions(df.limit(0)) == {}
+
+
+def test_pages_with_roman_numbers(spark):
+    rng = random.Random(10)
+    rows = []
+    for number, numeral in enumerate(("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"), 1):
+        body = [" ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(12)]
+        if number == 4:
+            body[-1] = "It ended with the annual develop-"
+        if number == 5:
+            body[0] = "ment and the regional measures of the committee."
+        rows.append((number, "s", number, "\n".join([*body, "", numeral]), None, None))
+    found = {(r.page_id, r.line_no, r.noise) for r in scans.page_noise(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {(p, 14, "page_number") for p in range(1, 11)} | {(4, 12, "hyphen")}
+
+
+def test_pages_without_scan_or_number_stand_alone(spark):
+    body = "The committee reviewed information about regional development and approved"
+    rows = [(1, None, None, body, None, None), (2, None, None, "several measures.", None, None), (3, None, 5, body, None, None), (4, None, 6, "other measures.", None, None), (5, "s", None, body, None, None), (6, "s", None, "more measures.", None, None), (7, "s", 1, "During the annual meeting several measures were", None, None), (8, "s", 2, "last measures.", None, None)]
+    got = sorted((r.page_id, r.paragraph_no, r.text.split()[-1]) for r in scans.page_paragraphs(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == [(1, 1, "approved"), (2, 1, "measures."), (3, 1, "approved"), (4, 1, "measures."), (5, 1, "approved"), (6, 1, "measures."), (7, 1, "measures.")]
 
 
 SUBJECTS = {"law": "juez contrato sentencia demanda tribunal embargo", "sport": "arquero gol pelota cancha torneo equipo", "music": "sonata compas arpegio acorde oboe cadencia"}
