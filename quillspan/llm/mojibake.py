@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ from pyspark.sql import types as T
 
 from quillspan.plans.lineage import stored
 
-#: A pair beyond so many most frequent ones counts as unseen; bounds what is broadcast.
-MOST_PAIRS = 400_000
+#: What is broadcast has at most so many pairs of characters; more are refused, not cut. Rarer pairs than LEAST_COUNT count as unseen.
+MOST_PAIRS, LEAST_COUNT = 2_000_000, 1
+_BLANKS = np.array([32, 9, 13, 10])
 #: By how much (natural logarithm) the restored run must be more probable.
 GAIN_FIRST, GAIN = 2.0, 2.5
-MOST_LAYERS = 3
 
 # Fixed values: (what the bytes were, what they were read as).
 WRONG_READINGS = (
@@ -169,8 +170,60 @@ def improbable_runs(token: str, model: PairModel) -> list[tuple[int, int]]:
     return runs
 
 
-def _every_run(token: str) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x7f]+", token)]
+#: How much more frequent than a pair what it stood for must be for it to be left out of the first count: a character of two bytes, another pair.
+OUTWEIGHED, OUTWEIGHED_PAIR = 0.5, 20
+
+
+@cache
+def _origins(x: str, y: str) -> tuple[str, ...]:
+    """What a pair of characters may have been before a wrong decoding: a character of two bytes, or another pair."""
+    found = []
+    for true, wrong in WRONG_READINGS:
+        known = _bytes_of(wrong)
+        if true == "utf-8":
+            if x in known and y in known and _SEQUENCE.fullmatch(raw := bytes((known[x], known[y]))):
+                found.append(raw.decode("utf-8"))
+        else:
+            table = _single(true, wrong)
+            pair = table.get(ord(x), x) + table.get(ord(y), y)
+            # of a sign by itself nothing can be said, nor of a capital inside a word
+            if pair != x + y and pair.isalpha() and not (pair[0].islower() and pair[1].isupper()) and not (x.isupper() and y.islower()):
+                found.append(pair)
+    return tuple(dict.fromkeys(found))
+
+
+def _begins_sequence(x: str, y: str) -> bool:
+    """Whether a pair is the beginning of a character of three or four bytes, read as one of the encodings."""
+    return any(0xE0 <= _bytes_of(wrong).get(x, 0) <= 0xF4 and 0x80 <= _bytes_of(wrong).get(y, 0) <= 0xBF for true, wrong in WRONG_READINGS if true == "utf-8")
+
+
+def undamaged_pairs(pairs: dict[str, int]) -> dict[str, int]:
+    """The pairs without those that wrong decodings seem to have made.
+
+    Damage repeats itself like a language does, so its pairs have high mutual
+    information in a corpus that contains it. But what a damaged pair stood
+    for is far more frequent than the pair itself. A character most of whose
+    pairs with others beyond ASCII are left out goes with all its pairs.
+    """
+    characters: Counter[str] = Counter()
+    for p, n in pairs.items():
+        characters[p[1]] += n
+
+    def made(p: str, n: int) -> bool:
+        if _begins_sequence(p[0], p[1]):
+            return True
+        return any(characters.get(o, 0) >= OUTWEIGHED * n if len(o) == 1 else pairs.get(o, 0) >= OUTWEIGHED_PAIR * n for o in _origins(p[0], p[1]))
+
+    bad = {p for p, n in pairs.items() if not p.isascii() and made(p, n)}
+    lost: Counter[str] = Counter()
+    seen: Counter[str] = Counter()
+    for p, n in pairs.items():
+        for c in set(p):
+            if c >= "\x80":
+                seen[c] += n
+                lost[c] += n * (p in bad)
+    gone = {c for c, n in lost.items() if 2 * n > seen[c]}
+    return {p: n for p, n in pairs.items() if p not in bad and not gone & set(p)}
 
 
 def _best_of_run(before: str, run: str, after: str, model: PairModel) -> tuple[float, str]:
@@ -189,19 +242,28 @@ def _best_of_run(before: str, run: str, after: str, model: PairModel) -> tuple[f
     return best, found
 
 
-def _best_of_token(token: str, model: PairModel) -> tuple[float, str]:
-    """The most probable undoing of a single-byte reading: gain and text.
+def _best_of_runs(token: str, runs: list[tuple[int, int]], model: PairModel) -> tuple[float, str]:
+    """The most probable undoing of a single-byte reading inside the runs: gain and text.
 
     One byte a character leaves no trace such as that of UTF-8, so every
-    character of the token beyond ASCII must have been read in the same wrong way.
+    character of the token beyond ASCII must have been read in the same wrong
+    way; those outside the runs stay as they are only if that reading keeps them.
     """
+    high = {c for c in token if c >= "\x80"}
+    outside = {c for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(token)]) for c in token[a:b] if c >= "\x80"}
     old = model.text(f" {token} ")
     best, found = 0.0, token
-    high = {c for c in token if c >= "\x80"}
     for true, wrong in WRONG_READINGS:
         if true == "utf-8" or not high <= _bytes_of(wrong).keys():
             continue
-        new = token.translate(_single(true, wrong))
+        table = _single(true, wrong)
+        if any(ord(c) in table for c in outside):
+            continue
+        out, at = [], 0
+        for a, b in runs:
+            out += [token[at:a], token[a:b].translate(table)]
+            at = b
+        new = "".join(out) + token[at:]
         if new == token:
             continue
         gain = model.text(f" {new} ") - old
@@ -210,30 +272,28 @@ def _best_of_token(token: str, model: PairModel) -> tuple[float, str]:
     return best, found
 
 
-def restore_token(token: str, model: PairModel, least_gain: float = GAIN, runs: Callable[[str, PairModel], list[tuple[int, int]]] = improbable_runs) -> tuple[str, bool]:
+def restore_token(token: str, model: PairModel, least_gain: float = GAIN) -> tuple[str, bool]:
     """The token with its damaged runs restored, and whether it has damage."""
     damaged = bool(_LOST.search(token))
-    for _ in range(MOST_LAYERS):
-        if not _HIGH.search(token):
-            break
+    while _HIGH.search(token):
         out, at, changed = [], 0, False
-        of_token = None
-        for a, b in runs(token, model):
+        runs = improbable_runs(token, model)
+        of_runs = _best_of_runs(token, runs, model) if runs else (0.0, token)
+        for a, b in runs:
             before = token[a - 1] if a else " "
             after = token[b] if b < len(token) else " "
-            if of_token is None:
-                of_token = _best_of_token(token, model)
             gain, new = _best_of_run(before, token[a:b], after, model)
-            if max(gain, of_token[0]) < least_gain:
+            if max(gain, of_runs[0]) < least_gain:
                 continue
             changed = True
-            if of_token[0] > gain:
-                out, at = [of_token[1]], len(token)
+            if of_runs[0] > gain:
+                out, at = [of_runs[1]], len(token)
                 break
             out += [token[at:a], new]
             at = b
         if not changed:
             break
+        # each layer that is undone makes the token more probable, so this comes to an end
         token, damaged = "".join(out) + token[at:], True
     return token, damaged
 
@@ -241,15 +301,14 @@ def restore_token(token: str, model: PairModel, least_gain: float = GAIN, runs:
 class Restorer:
     """Restores texts word by word and remembers the words."""
 
-    def __init__(self, model: PairModel, least_gain: float = GAIN, isolate: bool = True) -> None:
+    def __init__(self, model: PairModel, least_gain: float = GAIN) -> None:
         self._model, self._gain = model, least_gain
-        self._runs = improbable_runs if isolate else lambda token, _: _every_run(token)
         self._known: dict[str, tuple[str, bool]] = {}
 
     def token(self, token: str) -> tuple[str, bool]:
         got = self._known.get(token)
         if got is None:
-            got = restore_token(token, self._model, self._gain, self._runs)
+            got = restore_token(token, self._model, self._gain)
             if len(token) > _MOST_REMEMBERED:
                 return got
             if len(self._known) >= 200_000:
@@ -278,23 +337,28 @@ class Restorer:
         return new, hit
 
 
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of adjacent characters of texts, as two code points in one number, and how often each occurs. A run of blanks counts as one."""
+    points = np.frombuffer(" ".join(texts).join("  ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points[np.isin(points, _BLANKS)] = 32
+    points = points[~((points == 32) & np.append(False, points[:-1] == 32))]
+    return np.unique(points[:-1] << 21 | points[1:], return_counts=True)
+
+
 def _pair_counts(texts: DataFrame) -> dict[str, int]:
-    """The pairs of adjacent characters in all texts of the one column, the most frequent MOST_PAIRS."""
+    """All pairs of adjacent characters in the texts of the one column, with their numbers."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
         for batch in batches:
-            for t in batch.iloc[:, 0]:
-                if t:
-                    s = " " + re.sub(r"[ \t\r\n]+", " ", t) + " "
-                    seen.update(map("".join, zip(s, s[1:])))
-            if len(seen) > 500_000:
-                yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"pair": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+            pairs, n = _pairs([t for t in batch.iloc[:, 0] if t])
+            yield pd.DataFrame({"pair": pairs, "n": n})
 
-    counted = texts.mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return {r.pair: r.n for r in counted.orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).collect()}
+    counted = texts.mapInPandas(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    kept = counted.filter(F.col("n") >= LEAST_COUNT) if LEAST_COUNT > 1 else counted
+    rows = kept.limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"the texts have more than {MOST_PAIRS} pairs of characters; raise LEAST_COUNT or MOST_PAIRS")
+    return {chr(r.pair >> 21) + chr(r.pair & 0x1FFFFF): r.n for r in rows}
 
 
 _RESTORED = T.StructType([T.StructField("text", T.StringType()), T.StructField("damaged", T.BooleanType())])
@@ -309,10 +373,10 @@ def restored_texts(rows: DataFrame, key: str = "segment_id", text: str = "text")
     """
     spark = rows.sparkSession
     once = stored(rows.select(key, text).dropDuplicates([key]), "texts")
-    first = spark.sparkContext.broadcast(_pair_counts(once.select(text)))
+    first = spark.sparkContext.broadcast(undamaged_pairs(_pair_counts(once.select(text))))
 
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer = Restorer(PairModel(first.value), GAIN_FIRST, isolate=False)
+        restorer = Restorer(PairModel(first.value), GAIN_FIRST)
         for texts in batches:
             yield texts.map(lambda t: not restorer.damaged(t)).astype(bool)
 
