@@ -5,27 +5,28 @@ subjects. The topics are fitted on all documents: workers hold the topics,
 spread every sentence's words over them, and only the summed topic-word counts
 come back. Labelled documents give the topics their prior; each topic is then
 mapped to the subject that its top terms belong to, or to none. A document has
-the subjects that enough of its sentences deal with.
+the subjects whose topics have a large enough proportion in it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.boundaries import HEADING, boundaries
 from quillspan.plans.lineage import stored
 
-#: The vocabulary's bound, the labelled documents that give the prior, and the terms by which a topic is inspected.
-MOST_WORDS, MOST_LABELLED, TOP_TERMS = 40_000, 20_000, 40
+#: The vocabulary's bound, the labelled documents that give the prior, the terms by which a topic is inspected, the subjects that are accepted, and the letters of a word.
+MOST_WORDS, MOST_LABELLED, TOP_TERMS, MOST_SUBJECTS, LONGEST_WORD = 40_000, 20_000, 40, 1_000, 40
 COMMON_TOPICS = 4
 PASSES = 3
 SHARE = 0.25
@@ -39,6 +40,8 @@ _LOOKALIKE = str.maketrans("асеорхуіјѕԁһВМНКТАСЕОРХУІα
 
 def terms(text: str) -> list[str]:
     """Folded words of three letters or more; Cyrillic and Greek letters inside Latin words as what they look like."""
+    if text.isascii():
+        return _WORD.findall(text.lower())
     folded = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
     out = _WORD.findall(folded)
     if not folded.isascii():
@@ -46,6 +49,11 @@ def terms(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=200_000)
+def _term_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) - 2**63
+
+
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text; headings are none."""
     if not text:
@@ -56,42 +64,50 @@ def sentences(text: str | None) -> list[str]:
     return found or [text[u.position : e] for u, e in zip(units, ends)]
 
 
-def _word_counts(documents: DataFrame) -> list[str]:
-    """The words in most documents, at most MOST_WORDS; every document counts."""
+def _parsed(documents: DataFrame) -> DataFrame:
+    """(doc_id, sizes, terms): the terms of each document's sentences one after another, as hashes. The one pass over the texts."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["doc_id"], batch["text"]):
+                found = [[_term_hash(w) for w in terms(s) if len(w) <= LONGEST_WORD] for s in sentences(text)]
+                out.append((key, np.array([len(x) for x in found], np.int32).tobytes(), np.array([h for x in found for h in x], np.int64).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "sizes", "terms"])
+
+    return documents.select("doc_id", "text").mapInPandas(parse, "doc_id bigint, sizes binary, terms binary")
+
+
+def _vocabulary(parsed: DataFrame) -> np.ndarray:
+    """The hashes, sorted, of the terms in most documents, at most MOST_WORDS and each in two at least; every document counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
         for batch in batches:
-            for t in batch["text"]:
-                if t:
-                    seen.update(set(terms(t)))
-            if len(seen) > 300_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+            each = [np.unique(np.frombuffer(x, np.int64)) for x in batch["terms"]]
+            hashes, n = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_counts=True)
+            yield pd.DataFrame({"term": hashes, "n": n})
 
-    counted = documents.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.filter("n > 1 and length(word) <= 40").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()]
+    counted = parsed.select("terms").mapInPandas(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.term for r in counted.filter("n > 1").orderBy(F.desc("n"), "term").limit(MOST_WORDS).collect()], np.int64))
 
 
-def _encoded(documents: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, n_sentences, sizes, ids): the known words of each document's sentences one after another."""
-    sent = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def _encoded(parsed: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, sizes, ids): the known terms of each document's sentences one after another."""
+    sent = parsed.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = sent.value
+        known = sent.value
         for batch in batches:
             out = []
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                sizes, ids = [], []
-                for s in sentences(text):
-                    known = [index[w] for w in terms(s) if w in index]
-                    sizes.append(len(known))
-                    ids += known
-                out.append((key, np.array(sizes, np.int32).tobytes(), np.array(ids, np.int32).tobytes()))
+            for key, sizes, found in zip(batch["doc_id"], batch["sizes"], batch["terms"]):
+                sizes, found = np.frombuffer(sizes, np.int32), np.frombuffer(found, np.int64)
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                hit = known[at] == found
+                sentence = np.repeat(np.arange(len(sizes)), sizes)
+                out.append((key, np.bincount(sentence[hit], minlength=len(sizes)).astype(np.int32).tobytes(), at[hit].astype(np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "sizes", "ids"])
 
-    return documents.select("doc_id", "text").mapInPandas(encode, "doc_id bigint, sizes binary, ids binary")
+    return parsed.mapInPandas(encode, "doc_id bigint, sizes binary, ids binary")
 
 
 class _Batch(NamedTuple):
@@ -142,7 +158,6 @@ def _spread(b: _Batch, topics: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarra
 
 
 class TopicModel(NamedTuple):
-    words: list[str]
     topics: np.ndarray  # words x topics, each topic sums to 1
     alpha: np.ndarray
     subject: list[str | None]  # of each topic
@@ -152,7 +167,7 @@ def clean_subject(column: F.Column) -> F.Column:
     return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
 
 
-def _labelled_counts(documents: DataFrame, encoded: DataFrame, labels: DataFrame, names: list[str], size: int) -> np.ndarray:
+def _labelled_counts(encoded: DataFrame, labels: DataFrame, names: list[str], size: int) -> np.ndarray:
     """Words x subjects: in how many labelled documents of a subject a word occurs; of a bounded sample of labels."""
     tidy = labels.select("doc_id", clean_subject(F.col("subject")).alias("s")).filter(F.col("s").isin(names)).distinct()
     per = tidy.groupBy("doc_id").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("doc_id")).limit(MOST_LABELLED)
@@ -177,11 +192,11 @@ def _labelled_counts(documents: DataFrame, encoded: DataFrame, labels: DataFrame
     return out
 
 
-def fit_topics(documents: DataFrame, encoded: DataFrame, subjects: list[str], labels: DataFrame, words: list[str], passes: int = PASSES) -> TopicModel:
+def fit_topics(encoded: DataFrame, subjects: list[str], labels: DataFrame, words: int, passes: int = PASSES) -> TopicModel:
     """Topics fitted on all documents, one for each subject and some for what all subjects share."""
     names = [s.lower() for s in subjects]
-    k, v = len(names) + COMMON_TOPICS, len(words)
-    found = _labelled_counts(documents, encoded, labels, names, max(1, v))
+    k, v = len(names) + COMMON_TOPICS, words
+    found = _labelled_counts(encoded, labels, names, max(1, v))
     share = (found + 0.05) / (found + 0.05).sum(1, keepdims=True)
     # words that mostly occur with one subject are its prior, the rest is common to all
     own = np.where((share > 0.45) & (found.sum(1, keepdims=True) >= 2), found * share**2, 0)
@@ -217,7 +232,7 @@ def fit_topics(documents: DataFrame, encoded: DataFrame, subjects: list[str], la
         weight = 0.1 * counts.sum() / max(1e-9, prior.sum())
         grown = counts + weight * prior
         topics = grown / grown.sum(0)
-    return TopicModel(words, topics, alpha, inspected(topics, share, found, subjects))
+    return TopicModel(topics, alpha, inspected(topics, share, found, subjects))
 
 
 def inspected(topics: np.ndarray, share: np.ndarray, found: np.ndarray, subjects: list[str]) -> list[str | None]:
@@ -232,48 +247,72 @@ def inspected(topics: np.ndarray, share: np.ndarray, found: np.ndarray, subjects
     return out
 
 
-def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, subject): each document with each subject that at least ``share`` of its sentences deal with.
+def _document_proportions(b: _Batch, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Documents x subjects: the proportions of the subjects' topics in each document.
 
-    Subjects are spelt as in ``subjects``; labels may be spelt unevenly, wrong or
-    repeated. Documents without a text or on no subject give no row, and copies
-    under other ids have subjects of their own. Without labels no topic can be
-    named and there are no rows.
+    A topic's proportion in a document is the share of its sentences that it
+    generated; a sentence with too few expected words of any subject was
+    generated by the common topics.
+    """
+    topics, alpha, mapping = model
+    out = np.zeros((b.rows, mapping.shape[1]))
+    if not len(b.ids):
+        return out
+    _, per = _spread(b, topics, alpha)
+    amount = per @ mapping
+    best = amount.argmax(1)
+    about = amount[np.arange(len(best)), best] >= LEAST_WORDS
+    np.add.at(out, (b.document[b.filled[about]], best[about]), 1)
+    return out / np.maximum(1, np.bincount(b.document, minlength=b.rows))[:, None]
+
+
+def document_proportions(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, subject, proportion): the subjects' topics in each document, without those that it has none of.
+
+    Subjects are spelt as in ``subjects``; more than MOST_SUBJECTS are refused.
+    Labels may be spelt unevenly, wrong or repeated. Without labels no topic can
+    be named and there are no rows.
     """
     spark = documents.sparkSession
-    names = [r.subject for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
-    words = _word_counts(documents)
-    if not names or not words:
-        return spark.createDataFrame([], "doc_id bigint, subject string")
-    encoded = stored(_encoded(documents, words), "sentences")
-    model = fit_topics(documents, encoded, names, labels, words)
+    names = [r.subject for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(MOST_SUBJECTS + 1).collect()]
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"there are more than {MOST_SUBJECTS} subjects")
+    nothing = spark.createDataFrame([], "doc_id bigint, subject string, proportion double")
+    if not names:
+        return nothing
+    parsed = stored(_parsed(documents), "terms")
+    words = _vocabulary(parsed)
+    if not len(words):
+        return nothing
+    encoded = stored(_encoded(parsed, words), "sentences")
+    model = fit_topics(encoded, names, labels, len(words))
     used = sorted({s for s in model.subject if s is not None})
+    if not used:
+        return nothing
     column = {s: i for i, s in enumerate(used)}
-    into = np.zeros((len(model.subject), max(1, len(used))), np.float32)
+    into = np.zeros((len(model.subject), len(used)), np.float32)
     for i, s in enumerate(model.subject):
         if s is not None:
             into[i, column[s]] = 1
     sent = spark.sparkContext.broadcast((model.topics.astype(np.float32), model.alpha.astype(np.float32), into))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        topics, alpha, mapping = sent.value
         for batch in _slices(batches):
-            b = _unpacked(batch)
-            ids, found = [], []
-            if len(b.ids) and used:
-                _, per = _spread(b, topics, alpha)
-                amount = per @ mapping
-                best = amount.argmax(1)
-                about = amount[np.arange(len(best)), best] >= LEAST_WORDS
-                hits = np.zeros((b.rows, len(used)))
-                np.add.at(hits, (b.document[b.filled[about]], best[about]), 1)
-                total = np.bincount(b.document, minlength=b.rows)
-                row, col = np.nonzero((hits > 0) & (hits >= share * total[:, None] - 1e-9))
-                keys = batch["doc_id"].to_numpy()
-                ids, found = keys[row].tolist(), [used[c] for c in col]
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "subject": pd.Series(found, dtype=object)})
-
-    return encoded.mapInPandas(assign, "doc_id bigint, subject string")
+            theta = _document_proportions(_unpacked(batch), sent.value)
+            row, col = np.nonzero(theta)
+            keys = batch["doc_id"].to_numpy()
+            yield pd.DataFrame({"doc_id": pd.Series(keys[row], dtype="int64"), "subject": pd.Series([used[c] for c in col], dtype=object), "proportion": theta[row, col]})
+
+    return encoded.mapInPandas(assign, "doc_id bigint, subject string, proportion double")
+
+
+def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, subject): each document with each subject whose topics make up at least ``share`` of it.
+
+    Documents without a text or on no subject give no row, and copies under
+    other ids have subjects of their own.
+    """
+    return document_proportions(documents, subjects, labels).filter(F.col("proportion") >= share - 1e-9).select("doc_id", "subject")
 
 
 def corpus_composition(documents: DataFrame, found: DataFrame) -> DataFrame:
