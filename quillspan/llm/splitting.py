@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.llm.boundaries import Boundary, boundaries
+from quillspan.plans.lineage import stored
 
 LIMIT, OVERLAP = 1050, 180
 
@@ -182,31 +183,36 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     source and base. Rows sent twice count once. A null or blank text stays one
     row with its text unchanged; an empty table gives an empty table.
 
-    The new numbers come from sums over blocks of ``bucket`` old numbers, so no
-    task sees a whole source however large it is.
+    The rows are shuffled once, by source, base and blocks of ``bucket`` old
+    numbers (those without a number in as many blocks by a hash), and numbered
+    within them; only the blocks' sums are added up along a source. So no task
+    sees a whole source however large it is. Rows of one chunk_id, source,
+    base and chunk_index are one that was sent twice.
     """
-    rows = chunks.dropDuplicates(["chunk_id"])
-    is_long = F.length("text") > limit
-    long = rows.filter(is_long).withColumn("__piece", F.explode_outer(_split_udf(limit, overlap)("text")["pieces"]))
-    piece_type = _PIECE.elementType
-    short = rows.filter(~F.coalesce(is_long, F.lit(False))).withColumn("__piece", F.lit(None).cast(piece_type))
-    cut = long.unionByName(short)
-    p = F.col("__piece")
-    parts = F.count(F.lit(1)).over(Window.partitionBy("chunk_id"))
-    cut = (
-        cut.withColumn("__parts", parts)
-        .withColumn("chunk_part", F.coalesce(p["part"], F.lit(1)))
-        .withColumn("text", F.when(p.isNotNull() & (F.col("__parts") > 1), F.expr("substring(text, __piece.start_pos + 1, __piece.end_pos - __piece.start_pos)")).otherwise(F.col("text")))
-        .withColumn("location", F.when(F.col("__parts") > 1, F.concat_ws(", ", "location", F.concat(F.lit("parte "), F.col("chunk_part").cast("string")))).otherwise(F.col("location")))
-        .withColumn("__bucket", F.floor(F.coalesce("chunk_index", F.lit(-1)) / bucket))
-    )
     group = ["source_id", "base_id"]
-    sums = cut.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*group, "__bucket", before.alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(F.col("chunk_index").asc_nulls_first(), "chunk_id", "chunk_part"))
-    numbered = cut.withColumn("__inner", inner).alias("c").join(
-        sums.alias("s"), F.expr("c.source_id <=> s.source_id and c.base_id <=> s.base_id and c.__bucket = s.__bucket")
-    )
-    keep = [F.col(f"c.`{c}`") for c in chunks.columns if c not in ("chunk_index", "chunk_part")] + [F.col("c.chunk_part")]
-    return numbered.select(*keep, (F.col("s.__before") + F.col("c.__inner") - 1).cast("int").alias("chunk_index"))
+    # those without a number come before all others
+    place = F.coalesce(F.floor(F.col("chunk_index") / bucket), F.pmod(F.xxhash64("chunk_id"), F.lit(bucket)) - (1 << 40))
+    within = Window.partitionBy(*group, "__block").orderBy("chunk_index", "chunk_id")
+    rows = chunks.withColumn("__block", place)
+    # copies stand next to one another
+    same = F.lag("chunk_id").over(within).eqNullSafe(F.col("chunk_id")) & F.lag("chunk_index").over(within).eqNullSafe(F.col("chunk_index"))
+    rows = rows.withColumn("__copy", (F.row_number().over(within) > 1) & same)
+    once = rows.filter(~F.col("__copy")).drop("__copy")
+    # only the long texts go to the workers' Python
+    once = once.withColumn("__pieces", _split_udf(limit, overlap)(F.when(F.length("text") > limit, F.col("text")))["pieces"])
+    once = once.withColumn("__parts", F.greatest(F.lit(1), F.size("__pieces")))
+    once = stored(once.withColumn("__first", F.sum("__parts").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__parts")), "pieces")
+    sums = once.groupBy(*group, "__block").agg(F.sum("__parts").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*group, "__block", before.alias("__before"))
+    placed = once.alias("c").join(sums.alias("s"), F.expr("c.source_id <=> s.source_id and c.base_id <=> s.base_id and c.__block = s.__block")).select("c.*", "s.__before")
+    several = F.col("__parts") > 1
+    cut = placed.select("*", F.posexplode_outer("__pieces").alias("__pos", "__piece"))
+    made = {
+        "chunk_part": F.coalesce(F.col("__pos") + 1, F.lit(1)),
+        "text": F.when(several, F.expr("substring(text, __piece.start_pos + 1, __piece.end_pos - __piece.start_pos)")).otherwise(F.col("text")),
+        "location": F.when(several, F.concat_ws(", ", "location", F.concat(F.lit("parte "), (F.col("__pos") + 1).cast("string")))).otherwise(F.col("location")),
+        "chunk_index": (F.col("__before") + F.col("__first") + F.coalesce("__pos", F.lit(0))).cast("int"),
+    }
+    kept = [made.get(c, F.col(f"`{c}`")).alias(c) for c in chunks.columns if c not in ("chunk_index", "chunk_part")]
+    return cut.select(*kept, made["chunk_part"].alias("chunk_part"), made["chunk_index"].alias("chunk_index"))
