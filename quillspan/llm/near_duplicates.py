@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import sketches as S
@@ -23,9 +23,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 BAND_ROWS = 5
 #: Registers that the joint estimate reads, and by how many of its standard errors a pair may fall short.
 ESTIMATE_REGISTERS, TOLERANCE = 64, 4.0
+#: Classes of a band that are compared in one piece; a band with more is compared block against block.
+HUB = 2_048
 #: A class with more copies is given by links to its representative instead of by all pairs.
 EXPANDED_COPIES = 64
-SALTS = 8
+#: Shares into which the copies of such a class are divided; each of them has more copies than that.
+SALTS = 64
 
 
 def _long(hashes: np.ndarray) -> np.ndarray:
@@ -63,19 +66,28 @@ def sketched(rows: DataFrame, key: str, text: str, shingle: int, least_words: in
     return rows.select(key, text).mapInPandas(run, f"key {kind}, class_id bigint, n int, sketch binary")
 
 
+def _band_hashes(sketches: np.ndarray) -> np.ndarray:
+    """sketches x bands: a hash of the registers of each band."""
+    k = sketches.astype(np.uint64)
+    bands = k.shape[1] // BAND_ROWS
+    out = np.empty((len(k), bands), np.uint64)
+    for b in range(bands):
+        h = np.full(len(k), b + 1, np.uint64)
+        for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
+            h = S._mixed(h * S._STEP + k[:, i])
+        out[:, b] = h
+    return out
+
+
+def _registers(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int16).reshape(len(column), -1)
+
+
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        if not len(batch):
-            continue
-        k = np.frombuffer(b"".join(batch["sketch"]), np.int16).reshape(len(batch), -1).astype(np.uint64)
-        bands = k.shape[1] // BAND_ROWS
-        out = np.empty((len(batch), bands), np.uint64)
-        for b in range(bands):
-            h = np.full(len(batch), b + 1, np.uint64)
-            for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
-                h = S._mixed(h * S._STEP + k[:, i])
-            out[:, b] = h
-        yield pd.DataFrame({"band": _long(out).ravel(), "class_id": np.repeat(batch["class_id"].to_numpy(), bands)})
+        if len(batch):
+            out = _band_hashes(_registers(batch["sketch"]))
+            yield pd.DataFrame({"band": _long(out).ravel(), "class_id": np.repeat(batch["class_id"].to_numpy(), out.shape[1])})
 
 
 def _estimates(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -90,20 +102,65 @@ def _estimates(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Serie
 
 def _exact(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in columns:
-        out = []
-        for x, y in zip(a, b):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / (len(p) + len(q) - both))
-        yield pd.Series(out, dtype="float64")
+        yield pd.Series([_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+
 
+def _jaccard(x: bytes, y: bytes) -> float:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / (len(p) + len(q) - both)
 
-def similar_classes(table: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(class_a, class_b, jaccard), a below b: pairs of classes at least ``similarity`` alike."""
+
+def _compared_blocks(similarity: float, least_estimate: float):
+    """Compares the classes of one block of a large band with those of another, or with one another."""
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        first, second = part[part["of"] == part["i"]], part[part["of"] == part["j"]]
+        band = np.int64(part["band"].iloc[0]).astype(np.uint64)
+        x, y = _registers(first["sketch"]), _registers(second["sketch"])
+        hx, hy = _band_hashes(x), _band_hashes(y)
+        x, y = x[:, :ESTIMATE_REGISTERS], y[:, :ESTIMATE_REGISTERS]
+        a, b, n, m = first["class_id"].to_numpy(), second["class_id"].to_numpy(), first["n"].to_numpy(float), second["n"].to_numpy(float)
+        sets_a, sets_b = first["h"].to_numpy(), second["h"].to_numpy()
+        out = []
+        for k in range(len(first)):
+            # a pair is compared in the first band that both are in, and once
+            common = hy == hx[k]
+            fit = (hy[np.arange(len(hy)), common.argmax(1)] == band) & (np.minimum(m, n[k]) >= similarity * np.maximum(m, n[k]) - 1e-9)
+            fit &= b > a[k] if part["i"].iloc[0] == part["j"].iloc[0] else True
+            at = np.flatnonzero(fit)
+            if not len(at):
+                continue
+            estimate = S.jaccard_estimate((x[k] > y[at]).sum(1), (x[k] < y[at]).sum(1), np.full(len(at), n[k]), m[at], x.shape[1])
+            for c in at[estimate >= least_estimate]:
+                j = _jaccard(sets_a[k], sets_b[c])
+                if j >= similarity - 1e-12:
+                    out.append((min(a[k], b[c]), max(a[k], b[c]), j))
+        return pd.DataFrame(out, columns=["class_a", "class_b", "jaccard"])
+
+    return compare
+
+
+def similar_classes(table: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, similarity: float, hub: int = HUB) -> DataFrame:
+    """(class_a, class_b, jaccard), a below b: pairs of classes at least ``similarity`` alike.
+
+    Classes that share a band are compared. In bands of more than ``hub``
+    classes that is done block against block, each pair of blocks by itself, with
+    the estimate and the exact comparison on the spot, so that neither a task
+    nor a shuffle has all pairs of a large band.
+    """
     first = table.filter(F.col("sketch").isNotNull())
     bands = first.select("class_id", "sketch").mapInPandas(_bands, "band bigint, class_id bigint")
-    a = bands.select("band", F.col("class_id").alias("class_a"))
-    b = bands.select("band", F.col("class_id").alias("class_b"))
+    # a class has as many sketches as partitions had it first
+    of_band = Window.partitionBy("band")
+    several = bands.withColumn("rank", F.dense_rank().over(of_band.orderBy("class_id"))).withColumn("size", F.max("rank").over(of_band)).filter("size > 1")
+    several = stored(several.distinct(), "bands")
+    error = (similarity * (1 - similarity) / ESTIMATE_REGISTERS) ** 0.5
+    least_estimate = similarity - TOLERANCE * error
+
+    small = several.filter(F.col("size") <= hub)
+    a = small.select("band", F.col("class_id").alias("class_a"))
+    b = small.select("band", F.col("class_id").alias("class_b"))
     pairs = a.join(b, "band").filter(F.col("class_a") < F.col("class_b")).select("class_a", "class_b").distinct()
     brief = first.groupBy("class_id").agg(F.first("n").alias("n"), F.first(F.expr(f"substring(sketch, 1, {2 * ESTIMATE_REGISTERS})")).alias("k"))
     met = pairs.join(brief.select(F.col("class_id").alias("class_a"), F.col("n").alias("na"), F.col("k").alias("ka")), "class_a").join(
@@ -111,25 +168,34 @@ def similar_classes(table: DataFrame, rows: DataFrame, key: str, text: str, shin
     )
     # sets of very different size can't be similar enough
     met = met.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-    error = (similarity * (1 - similarity) / ESTIMATE_REGISTERS) ** 0.5
-    likely = met.withColumn("estimate", F.pandas_udf(_estimates, "double")("ka", "kb", "na", "nb")).filter(F.col("estimate") >= similarity - TOLERANCE * error)
+    likely = met.withColumn("estimate", F.pandas_udf(_estimates, "double")("ka", "kb", "na", "nb")).filter(F.col("estimate") >= least_estimate)
     likely = stored(likely.select("class_a", "class_b"), "likely")
+    large = several.filter(F.col("size") > hub)
+    hubs = not large.isEmpty()
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"class_id": batch["class_id"], "h": [S.shingles(S.words(t), shingle).tobytes() for t in batch["text"]]})
 
-    needed = likely.select(F.col("class_a").alias("class_id")).union(likely.select("class_b")).distinct()
+    needed = likely.select(F.col("class_a").alias("class_id")).union(likely.select("class_b"))
+    needed = (needed.union(large.select("class_id")) if hubs else needed).distinct()
     representative = table.join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.min("key").alias("key"))
     texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).join(representative, "key").select("class_id", "text").dropDuplicates(["class_id"])
     sets = texts.mapInPandas(shingled, "class_id bigint, h binary")
     compared = likely.join(sets.select(F.col("class_id").alias("class_a"), F.col("h").alias("ha")), "class_a").join(
         sets.select(F.col("class_id").alias("class_b"), F.col("h").alias("hb")), "class_b"
     )
-    return compared.select("class_a", "class_b", F.pandas_udf(_exact, "double")("ha", "hb").alias("jaccard")).filter(F.col("jaccard") >= similarity - 1e-12)
+    found = compared.select("class_a", "class_b", F.pandas_udf(_exact, "double")("ha", "hb").alias("jaccard")).filter(F.col("jaccard") >= similarity - 1e-12)
+    if not hubs:
+        return found
+    whole = first.groupBy("class_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    members = large.select("band", "class_id", F.floor((F.col("rank") - 1) / hub).cast("int").alias("of"), F.floor((F.col("size") - 1) / hub).cast("int").alias("last"))
+    members = members.join(whole, "class_id").join(sets, "class_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("i", F.least("of", "other")).withColumn("j", F.greatest("of", "other"))
+    blocks = members.groupBy("band", "i", "j").applyInPandas(_compared_blocks(similarity, least_estimate), "class_a bigint, class_b bigint, jaccard double")
+    return found.unionByName(blocks).dropDuplicates(["class_a", "class_b"])
 
 
-def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = 0, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
     """Membership (key, class_id) and the similar pairs of classes (class_a, class_b, jaccard).
 
     Texts of fewer than ``least_words`` (or than ``shingle``) words, null and
@@ -140,7 +206,7 @@ def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "text",
         raise ValueError("similarity must be in (0, 1] and shingle positive")
     table = stored(sketched(rows, key, text, shingle, least_words), "sketches")
     members = table.select(F.col("key").alias(key), "class_id").distinct()
-    return members, similar_classes(table, rows, key, text, shingle, similarity)
+    return members, similar_classes(table, rows, key, text, shingle, similarity, hub)
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame, key: str = "chunk_id") -> DataFrame:

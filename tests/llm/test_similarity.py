@@ -45,6 +45,23 @@ def test_pairs_equal_brute_force(spark, texts):
     assert len({groups[k].group_id for k in ("d000", "copia1", "copia2")}) == 1
 
 
+def test_large_bands_give_the_same_pairs(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    whole, blocks = ({(r.class_a, r.class_b, round(r.jaccard, 9)) for r in D.near_duplicates(df, shingle=3, similarity=0.7, least_words=20, hub=hub)[1].collect()} for hub in (1_000, 2))
+    assert whole == blocks and len(whole) > 50
+
+
+def test_a_template_with_many_variants(spark):
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(f"v{i:04}", " ".join([*base[: i % 110], f"nombre{i}", f"fecha{i}", *base[i % 110 :]]), 0) for i in range(700)]
+    rows += [(f"x{i}", " ".join(f"z{rng.randrange(10**6)}" for _ in range(60)), 0) for i in range(50)]
+    members, pairs = D.near_duplicates(spark.createDataFrame(rows, "chunk_id string, text string, n int"), hub=128)
+    groups = {r.chunk_id: r for r in D.near_duplicate_groups(members, pairs).collect()}
+    assert len({groups[f"v{i:04}"].group_id for i in range(700)}) == 1
+    assert all(groups[f"v{i:04}"].n_links == 699 for i in range(700)) and all(groups[f"x{i}"].n_links == 0 for i in range(50))
+
+
 def test_a_text_with_very_many_copies_costs_a_row_each(spark):
     df = spark.range(1000).selectExpr("cast(id as string) as chunk_id", "'uno dos tres cuatro cinco seis siete ocho' as text")
     members, pairs = D.near_duplicates(df)
