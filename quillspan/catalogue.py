@@ -150,7 +150,7 @@ def intent_flags(s, d):
     return _asked_results(s, d).select("result_id", *flags, big(F.coalesce(S.date_precision(F.col("snippet")), F.lit(0))).alias("precision"))
 
 
-@query()
+@query(f"SELECT result_id, coalesce({O.person_count('snippet')}, 0)::BIGINT AS persons FROM {O.RESULTS} r")
 def person_count(s, d):
     r = once(s, d, "search_results", "result_id", "snippet")
     return r.select("result_id", big(F.coalesce(S.named_persons(F.col("snippet")), F.lit(0))).alias("persons"))
@@ -177,15 +177,15 @@ def cosine_topk(s, d):
 def _search(mode):
     def run(s, d):
         columns = ("source_id", "source_name", "location", "text", "metadata", *(() if mode == "literal" else ("embedding",)))
-        hits = retrieval.search_web(asked(s, d), once(s, d, "source_chunks", "chunk_id", *columns), mode, evidence=False)
-        return hits.select("query_id", big(F.col("rank")).alias("rank"), "chunk_id", r6("score").alias("score"), "match_kind")
+        hits = retrieval.search_web(asked(s, d), once(s, d, "source_chunks", "chunk_id", *columns), mode)
+        return hits.select("query_id", big(F.col("rank")).alias("rank"), "chunk_id", r6("score").alias("score"), "match_kind", "evidence")
 
     run.__name__ = f"search_{mode}"
     return run
 
 
 for _mode in retrieval.MODES:
-    query(O.search_web(_mode))(_search(_mode))
+    query(O.searched(_mode))(_search(_mode))
 
 
 @query(O.SEARCH_DESKTOP)
@@ -229,62 +229,75 @@ def text_blocks_web(s, d):
     return chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "web")
 
 
-@query()
+@query(O.SPLIT_DESKTOP)
 def split_window_desktop(s, d):
     x = table(s, d, "documents").filter(F.length("text") > 0)
     return x.select("doc_id", F.posexplode(chunking.windows_udf("desktop", P.DESKTOP.chunk_size, P.DESKTOP.chunk_overlap)(F.col("text"))).alias("part", "chunk"))
 
 
-@query()
+@query(O.SPLIT_WEB)
 def split_window_web(s, d):
     return chunking.chunks_web(chunking.text_segments(table(s, d, "documents"), "doc_id", "text", "web"))
 
 
-@query()
+@query(O.PACK_SEGMENTS)
 def pack_segments(s, d):
     x = once(s, d, "segments", "segment_id", "base_id", "source_id", "seg_idx", "text", "location")
     return chunking.pack_segments(x, ["base_id", "source_id"], ["seg_idx", "segment_id"])
 
 
-@query(O.SENTENCE_UNITS)
+@query(f"SELECT doc_id, pos::INT AS pos, u AS unit, {O.fragment('u')} AS fragment, {O.dedupe_key(O.clean_unit('u'))} AS key FROM (SELECT doc_id, unnest({O.units('text')}) AS u, unnest(range(len({O.units('text')}))) AS pos FROM documents WHERE text IS NOT NULL)")
 def sentence_units(s, d):
-    r = once(s, d, "search_results", "result_id", "snippet")
-    u = r.select("result_id", F.posexplode(chunking.split_units("snippet")).alias("pos", "unit")).filter(F.length("unit") <= 520)
-    return u.groupBy("result_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("unit")).cast("bigint").alias("characters"), F.count_if(S.looks_fragmentary(F.col("unit"))).alias("fragments"))
+    u = table(s, d, "documents").select("doc_id", F.posexplode(chunking.split_units("text")).alias("pos", "unit"))
+    return u.select("doc_id", "pos", "unit", S.looks_fragmentary(F.col("unit")).alias("fragment"), X.dedupe_key(X.clean_unit("unit")).alias("key"))
 
 
-@query()
+@query(O.SELECT_EVIDENCE)
 def select_evidence(s, d):
-    r = _asked_results(s, d).withColumn("q_normal", X.normalize_web("query_text"))
-    r = r.withColumn("q_tokens", tokens_web("query_text", F.col("q_normal")))
-    return retrieval.with_evidence(r, "snippet", "q_normal", "q_tokens", 120).select("result_id", "evidence")
+    """The evidence in every document for one of the queries."""
+    q = table(s, d, "queries").select("query_id", X.normalize_web("query_text").alias("q_normal"), tokens_web("query_text").alias("q_tokens"))
+    docs = table(s, d, "documents").filter("text is not null").select("doc_id", "text").join(F.broadcast(q.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    r = docs.withColumn("query_id", F.col("doc_id") % F.col("n")).join(q, "query_id")
+    return retrieval.with_evidence(r, "text", "q_normal", "q_tokens").select("doc_id", "evidence")
 
 
-@query()
+@query(O.EVIDENCE_ANSWER)
 def evidence_answer(s, d):
     c = once(s, d, "source_chunks", "chunk_id", "source_id", "source_name", "location", "text", "metadata", "embedding")
     a = answers.evidence_answers(retrieval.search_web(asked(s, d), c, "hybrid"))
     return a.select("query_id", F.posexplode("passages").alias("pos", "p")).select("query_id", big(F.col("pos")).alias("pos"), "p.*")
 
 
-def _desktop_hits(s, d):
-    c = once(s, d, "source_chunks", "chunk_id", "source_name", "relative_path", "location", "text", "embedding")
-    return retrieval.search_desktop(asked(s, d), c)
+def _stored_hits(s, d):
+    """The eight best stored results of every query, as a search gives them."""
+    r = once(s, d, "search_results", "result_id", "query_id", "snippet", "relevance").filter("relevance is not null and not isnan(relevance) and snippet is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "result_id"))
+    hits = r.withColumn("rank", rank).filter(F.col("rank") <= P.DESKTOP.top_k)
+    return hits.join(table(s, d, "queries").select("query_id", F.col("query_text").alias("query")), "query_id")
 
 
-@query()
+@query(O.CONCEPTS)
+def concept_names(s, d):
+    """Of every query the concept that it asks for, what else that is called, the words that show it, and the longer query."""
+    q = table(s, d, "queries").select("query_id", "query_text", answers.concept_of("query_text").alias("concept"), answers.anchors_of("query_text").alias("a"))
+    v = F.array_join(F.array_sort(answers.concept_variants("concept")), "|")
+    longer = F.when(F.col("concept").isNotNull(), answers.expanded_query("concept", "query_text"))
+    return q.select("query_id", "concept", v.alias("variants"), F.array_join("a", "|").alias("anchors"), longer.alias("longer"))
+
+
+@query(O.CLAIMS)
 def claims_greedy(s, d):
-    return answers.claims(_desktop_hits(s, d)).select("query_id", F.posexplode("claims").alias("pos", "c")).select("query_id", "pos", "c.*")
+    return answers.claims(_stored_hits(s, d)).select("query_id", F.posexplode("claims").alias("pos", "c")).select("query_id", "pos", "c.*")
 
 
-@query()
+@query(O.EXTRACTIVE)
 def extractive_answer(s, d):
-    return answers.extractive_answers(_desktop_hits(s, d))
+    return answers.extractive_answers(_stored_hits(s, d))
 
 
-@query()
+@query(O.CONCEPT_ANSWERS)
 def concept_answer(s, d):
-    return answers.concept_answers(_desktop_hits(s, d))
+    return answers.concept_answers(_stored_hits(s, d))
 
 
 @query(r"SELECT result_id, CASE WHEN len(c) = 0 THEN 3 ELSE len(list_filter([1, 2, 3], lambda i: list_contains(c, i))) END::BIGINT AS sources FROM (SELECT result_id, list_transform(regexp_extract_all(coalesce(location, '') || ' [' || (result_id % 5)::VARCHAR || ']', '\[(\d{1,9})\]', 1), lambda x: x::INT) AS c FROM " + O.RESULTS + " r)")
@@ -379,7 +392,10 @@ def file_hash(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query()
+@query(
+    "WITH h AS (SELECT chunk_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(coalesce(relative_path, '') || '::' || sha256(coalesce(text, '')) || '::' || chunk_index)) AS h FROM " + O.CHUNKS + " c) "
+    "SELECT chunk_id, substring(h, 1, 12) || '5' || substring(h, 14, 3) || substring('89ab', (('0x' || substring(h, 17, 1))::INT & 3) + 1, 1) || substring(h, 18, 15) AS uuid FROM h"
+)
 def chunk_id(s, d):
     c = once(s, d, "source_chunks", "chunk_id", "relative_path", "chunk_index", "text")
     return c.select("chunk_id", X.chunk_uuid(F.coalesce("relative_path", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256), "chunk_index").alias("uuid"))
