@@ -18,6 +18,7 @@ from quillspan.functions import text as X
 from quillspan.functions.tokens import stem_desktop, stem_web, tokens_desktop, tokens_web
 from quillspan.operators import answers, chunking, records, retrieval
 from quillspan.plans import sync
+from quillspan.sources import files
 from quillspan.sources.files import merged_ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,17 +309,8 @@ def citations_used(s, d):
     return r.select("result_id", big(F.size(answers.sources_for_text(text, sources))).alias("sources"))
 
 
-@query(
-    "SELECT o_orderkey, 'o_orderkey: ' || o_orderkey || '\n' || 'o_custkey: ' || o_custkey || '\n' || 'o_orderstatus: ' || o_orderstatus || '\n' || 'o_orderpriority: ' || o_orderpriority AS text, 4::BIGINT AS entries FROM orders"
-)
+@query(O.FLATTEN_ORDERS)
 def flatten_records_orders(s, d):
-    e = records.entries_of(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
-    return table(s, d, "orders").select("o_orderkey", records.record_text(e).alias("text"), big(F.size(e)).alias("entries"))
-
-
-@query()
-def flatten_records_orders_all(s, d):
-    """flatten_records_orders over every column of orders, its number and its date too."""
     o = table(s, d, "orders")
     e = records.entries_of(o.columns, dict(o.dtypes))
     return o.select("o_orderkey", e.alias("e")).select("o_orderkey", records.record_text(F.col("e")).alias("text"), big(F.size("e")).alias("entries"))
@@ -339,16 +331,14 @@ def record_metadata_url(s, d):
     return c.select("chunk_id", records.record_url(e).alias("url")).filter("url is not null")
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?s)</?[A-Za-z!][^<>]*>', '', 'g') AS plain FROM documents WHERE text NOT LIKE '%&%' AND NOT regexp_matches(text, '(?i)<body')")
-def html_text(s, d):
-    x = table(s, d, "documents").filter("text not like '%&%' and not text rlike '(?i)<body'")
-    return x.select("doc_id", X.html_text("text").alias("plain"))
+_PAGE = ("<html><head><title>x</title></head><BODY class=\"a\"><!-- <p> --><p>", "</p>\n&lt;b&gt; &amp;amp; &#243;&#xe9;&ntilde; &nada;</body><p>y</p></html>")
 
 
-@query()
-def html_text_all(s, d):
-    """html_text over every document, with those whose entities and body the SQL of html_text can't follow."""
-    return table(s, d, "documents").select("doc_id", X.html_text("text").alias("plain"))
+@query(O.html_text(_PAGE, "& v"))
+def html_text(s, d):
+    """Every document as the body of a page that has a head, a comment and entities."""
+    page = F.concat(F.lit(_PAGE[0]), F.col("text"), F.lit(_PAGE[1]))
+    return table(s, d, "documents").select("doc_id", X.html_text(page).alias("plain"))
 
 
 @query(O.RTF_TEXT)
@@ -427,9 +417,9 @@ def embedding_text(s, d):
     return c.select("chunk_id", big(F.length(t)).alias("characters"), t.alias("text"))
 
 
-@query(r"SELECT result_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(substring(t, 1, 59), '[\s ]+$', '') || '...' END AS snippet FROM (SELECT result_id, regexp_replace(snippet, '^[\s ]+|[\s ]+$', '', 'g') AS t FROM " + O.RESULTS + " r)")
+@query(O.TRIM_SNIPPET)
 def trim_snippet(s, d):
-    return once(s, d, "search_results", "result_id", "snippet").select("result_id", X.trim_snippet("snippet", 60).alias("snippet"))
+    return table(s, d, "documents").select("doc_id", X.trim_snippet("text").alias("snippet"))
 
 
 @query(f"SELECT source_id, trim(lower(regexp_replace({O.fold('source_name')}, '[^a-zA-Z0-9]+', '-', 'g')), '-') AS name FROM manifest")
@@ -456,6 +446,111 @@ def relevance_summary(s, d):
     return ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("place") <= 12).alias("shown"), F.round(F.avg(F.when(F.col("place") <= 12, F.col("score"))), 4).alias("mean_score"))
 
 
+@query(f"SELECT doc_id, {O.query_norm('text')} AS normal FROM documents")
+def normalize_query(s, d):
+    return table(s, d, "documents").select("doc_id", X.normalize_query("text").alias("normal"))
+
+
+@query(f"SELECT chunk_id, u AS address, coalesce(regexp_matches(u, '^(?i:https?)://(?:127\\.0\\.0\\.1|\\[::1\\]|(?i:localhost))(?::\\d+)?(?:[/?#]|$)'), false) AS local FROM (SELECT chunk_id, {O.ADDRESS} AS u FROM {O.CHUNKS} c)")
+def local_addresses(s, d):
+    c = once(s, d, "source_chunks", "chunk_id", "url", "chunk_index").withColumn("k", F.col("chunk_index") % 8)
+    made = [F.concat(F.lit(a), F.col("chunk_id"), F.lit(b)) for a, b in O.ADDRESSES]
+    u = F.coalesce(*[F.when(F.col("k") == i, m) for i, m in enumerate(made)], F.col("url"))
+    return c.select("chunk_id", u.alias("address"), X.is_local_url(u).alias("local"))
+
+
+@query(f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, '') || ' [' || page_number || '] [x] [' || page_id % 7 || ']', '\\[(\\d{{1,9}})\\]', 1), lambda x: x::INT::VARCHAR), ',') AS numbers FROM {O.PAGES} p")
+def cited_numbers(s, d):
+    p = once(s, d, "ocr_pages", "page_id", "page_number", "text")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), F.col("page_number").cast("string"), F.lit("] [x] ["), (F.col("page_id") % 7).cast("string"), F.lit("]"))
+    return p.select("page_id", F.array_join(F.transform(X.cited(text), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+def _files(rows: DataFrame, name: F.Column, text: F.Column) -> DataFrame:
+    return rows.select(name.alias("source_path"), F.encode(text, "UTF-8").alias("content")).filter("content is not null")
+
+
+@query(O.READ_TEXT)
+def read_text_files(s, d):
+    """Every document as a file: of plain text, of Markdown, and of bytes that aren't UTF-8 where Latin-1 has its letters."""
+    x = table(s, d, "documents").filter("text is not null")
+    latin = F.col("text").rlike("^[\\x00-\\x7f\\xa1-\\xff]*[\\xe0-\\xff][a-z][\\x00-\\x7f\\xa1-\\xff]*$") & ~F.col("text").rlike("[\\xc2-\\xf4][\\xa1-\\xbf]")
+    raw = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    f = x.select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".MD")).alias("source_path"), raw.alias("content"))
+    return files.content_segments(f).select("source_path", "seg_idx", "text", "location", "error")
+
+
+@query(O.READ_WEB)
+def read_web_files(s, d):
+    """Every document as a text file of the web profile, or as the body of a page; the rest of the names aren't known."""
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".html", ".xml", ".pages"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    safe = X.escape_html("text")
+    text = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<html><head>x</head><body>"), safe, F.lit("</body></html>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("<a b='c'>"), safe, F.lit("</a>"))).otherwise(F.col("text"))
+    f = _files(table(s, d, "documents"), F.concat(F.col("doc_id").cast("string"), ending), text)
+    return files.content_segments(f, "web").select("source_path", "seg_idx", "text", "location", "error")
+
+
+def _segments_of(f: DataFrame) -> DataFrame:
+    m = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return files.content_segments(f, "web").select("source_path", "text", "location", m.alias("metadata"), "url", "error")
+
+
+@query(O.READ_TABLES)
+def read_tables(s, d):
+    """The suppliers of every nation as a table of comma- or tab-separated values, with a blank line and a column without a name."""
+    x = table(s, d, "supplier")
+    for_tab = F.col("s_nationkey") % 2 == 0
+    sep = F.when(for_tab, "\t").otherwise(",")
+    line = F.concat_ws("|", F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), "s_name", F.lit(' ""x"""')), F.concat(F.lit("https://s.invalid/"), F.col("s_suppkey").cast("string")), F.lit(" "))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))), lambda r: r["l"]), "\n")
+    t = x.groupBy("s_nationkey").agg(lines.alias("l")).withColumn("t", F.concat(F.lit(" s_suppkey |s_name|enlace|\n | ||\n"), "l"))
+    return _segments_of(_files(t, F.concat(F.col("s_nationkey").cast("string"), F.when(for_tab, ".tsv").otherwise(".csv")), F.replace("t", F.lit("|"), sep)))
+
+
+@query(O.READ_JSON)
+def read_json_files(s, d):
+    """The events of every kind as lines of JSON, and all regions as one JSON object with an array; a broken file gives its error."""
+    e = table(s, d, "events")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda r: r["props"]), "\n\n")
+    f = _files(e.filter("props is not null").groupBy("event_type").agg(lines.alias("t")), F.concat("event_type", F.lit(".jsonl")), F.col("t"))
+    r = table(s, d, "region").select(F.struct("r_regionkey", F.struct(F.col("r_name").alias("name"), F.array(F.lit(1), F.lit(2)).alias("codes")).alias("r")).alias("x"))
+    one = r.agg(F.array_sort(F.collect_list("x")).alias("items")).select(F.to_json(F.struct(F.lit(7).alias("n"), "items")).alias("t"))
+    broken = s.range(1).select(F.lit('{"a":1}\n{').alias("t"))
+    return _segments_of(f.unionByName(_files(one, F.lit("regions.json"), F.col("t"))).unionByName(_files(broken, F.lit("broken.ndjson"), F.col("t"))))
+
+
+@query(O.SYNC_ACTIONS)
+def sync_actions(s, d):
+    """The actions of manifest_diff with candidates settled by content."""
+    m = table(s, d, "manifest")
+    listing = _listing(s, d)
+    hashes = listing.join(m.select("source_path", F.col("sha256").alias("was")), "source_path", "left").select("source_path", F.when(F.col("size") % 2 == 0, F.col("was")).otherwise(F.sha2("source_path", 256)).alias("sha256"))
+    return sync.judged_candidates(sync.manifest_diff(listing, m), hashes, m)
+
+
+@query(O.SYNC_COUNTS)
+def sync_counts(s, d):
+    """The counts of a run over these actions, as if every third file that is read had an error."""
+    a = sync_actions(s, d)
+    read = a.filter(F.col("action").isin("new", "changed"))
+    broken = F.length("source_path") % 3 == 0
+    made = read.filter(~broken).select("source_path", F.explode(F.sequence(F.lit(1), F.length("source_path") % 4 + 1)))
+    return sync.sync_summary(a, made, read.filter(broken))
+
+
+_PORTABLE = "chunk_id string, source_id string, source_name string, source_type string, location string, text string, url string"
+
+
+@query(O.BASE_ROUND_TRIP)
+def base_round_trip(s, d):
+    """The chunks of one base, exported and imported under another id."""
+    c = once(s, d, "source_chunks", "chunk_id", "base_id", "source_id", "source_name", "source_type", "location", "text", "url", "embedding")
+    base = c.agg(F.min("base_id").alias("first"))  # one row
+    own = c.join(F.broadcast(base), F.col("base_id") == F.col("first")).drop("first").filter("location is not null and text is not null and source_name is not null and source_type is not null")
+    lines = sync.export_base(own.withColumn("base_id", F.lit("one")), "one", "mi base")
+    return sync.import_base(lines, _PORTABLE, "two").select("base_id", "chunk_id", "source_id", "source_name", "source_type", "location", "text", "url", F.col("embedding").isNull().alias("bare"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Hybrid passage search for all queries that ask something, with evidence."""
     chunks = once(spark, folder, "source_chunks", "chunk_id", "source_id", "source_name", "location", "text", "metadata", "embedding")

@@ -485,3 +485,53 @@ EVIDENCE_ANSWER = (
     "f AS (SELECT query_id, max_by(taken, i) AS taken FROM g GROUP BY query_id) "
     "SELECT query_id, (list_position(taken, i) - 1)::BIGINT AS pos, evidence AS text, chunk_id, reason FROM f JOIN o USING (query_id) WHERE list_contains(taken, i)"
 )
+
+
+TRIM_SNIPPET = f"SELECT doc_id, CASE WHEN length(t) <= 1400 THEN t ELSE regexp_replace(substring(t, 1, 1399), '{_PY}+$', '') || '...' END AS snippet FROM (SELECT doc_id, {_STRIPPED} AS t FROM documents)"
+FLATTEN_ORDERS = (
+    "WITH e AS (SELECT o_orderkey, list_filter(['o_orderkey: ' || o_orderkey, 'o_custkey: ' || o_custkey, 'o_orderstatus: ' || nullif(trim(o_orderstatus), ''), "
+    "'o_totalprice: ' || CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END, "
+    "'o_orderdate: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'o_orderpriority: ' || nullif(trim(o_orderpriority), '')], lambda x: x IS NOT NULL) AS e FROM orders) "
+    "SELECT o_orderkey, array_to_string(e, chr(10)) AS text, len(e)::BIGINT AS entries FROM e"
+)
+
+
+def html_text(page: tuple[str, str], _: str) -> str:
+    """What the body of the planted page says; documents have no entity of their own, and no tag reaches over their ends."""
+    inner = "regexp_replace(regexp_replace(text || '</p>', '(?s)<!--.*?-->', '', 'g'), '(?s)</?[A-Za-z!][^<>]*>', '', 'g')"
+    return f"SELECT doc_id, {inner} || chr(10) || '<b> &amp; óéñ &nada;' AS plain FROM documents"
+
+
+#: Addresses around a chunk's id.
+ADDRESSES = (("http://localhost:8080/", ""), ("HTTPS://127.0.0.1/", "?a=b"), ("http://[::1]:9/", ""), ("http://localhost.example.com/", ""), ("ftp://localhost/", ""), ("file:///", ""))
+ADDRESS = "CASE chunk_index % 8 " + " ".join(f"WHEN {i} THEN '{a}' || chunk_id || '{b}'" for i, (a, b) in enumerate(ADDRESSES)) + " ELSE url END"
+READ_TEXT = f"SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.MD' END AS source_path, seg_idx, text, location, NULL::VARCHAR AS error FROM ({TEXT_BLOCKS_DESKTOP})"
+_PY_BLANKS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_READ_BLOCKS = _blocks(f"regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^{_PY_BLANKS}+|{_PY_BLANKS}+$', '', 'g')", f"\\n{_PY_BLANKS}*\\n", _squeezed("raw", _PY), "línea ")
+READ_WEB = (
+    f"SELECT doc_id || ['.txt', '.html', '.xml', '.pages'][doc_id % 4 + 1] AS source_path, seg_idx, text, location, NULL::VARCHAR AS error FROM ({_READ_BLOCKS}) WHERE doc_id % 4 <> 3 "
+    "UNION ALL SELECT doc_id || '.pages', NULL, NULL, NULL, 'unsupported file' FROM documents WHERE doc_id % 4 = 3 AND text IS NOT NULL"
+)
+READ_TABLES = (
+    "SELECT s_nationkey || CASE WHEN s_nationkey % 2 = 0 THEN '.tsv' ELSE '.csv' END AS source_path, 's_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || s_name || ' \"x\"' || chr(10) || 'enlace: https://s.invalid/' || s_suppkey AS text, "
+    "'fila ' || (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 1) AS location, 'enlace=https://s.invalid/' || s_suppkey || ';s_name=' || s_name || ' \"x\";s_suppkey=' || s_suppkey AS metadata, 'https://s.invalid/' || s_suppkey AS url, NULL::VARCHAR AS error FROM supplier"
+)
+READ_JSON = (
+    "SELECT event_type || '.jsonl' AS source_path, 'k: ' || json_extract_string(props, '$.k') AS text, 'fila ' || row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS location, 'k=' || json_extract_string(props, '$.k') AS metadata, NULL::VARCHAR AS url, NULL::VARCHAR AS error FROM events WHERE props IS NOT NULL "
+    "UNION ALL SELECT 'regions.json', 'r_regionkey: ' || r_regionkey || chr(10) || 'r.name: ' || r_name || chr(10) || 'r.codes: 1; 2', 'fila ' || row_number() OVER (ORDER BY r_regionkey), 'r.codes=1; 2;r.name=' || r_name || ';r_regionkey=' || r_regionkey, NULL, NULL FROM region "
+    "UNION ALL SELECT 'broken.ndjson', NULL, NULL, NULL, NULL, 'ValueError: line 2 is no JSON'"
+)
+_ACTIONS = (
+    f"WITH l AS ({LISTING}), a AS (SELECT coalesce(l.source_path, m.source_path) AS source_path, l.source_path IS NULL AS gone, m.source_path IS NULL AS fresh, l.size IS NOT DISTINCT FROM m.size AND l.mtime_ns IS NOT DISTINCT FROM m.mtime_ns AS same, "
+    "CASE WHEN l.size % 2 = 0 THEN m.sha256 ELSE sha256(l.source_path) END AS now, m.sha256 AS was FROM l FULL JOIN manifest m ON l.source_path = m.source_path), "
+    "c AS (SELECT source_path, CASE WHEN gone THEN 'removed' WHEN fresh THEN 'new' WHEN same THEN 'unchanged' WHEN now = was THEN 'touched' ELSE 'changed' END AS action FROM a) "
+)
+SYNC_ACTIONS = _ACTIONS + "SELECT source_path, action FROM c"
+SYNC_COUNTS = _ACTIONS + (
+    "SELECT (count(*) FILTER (action <> 'removed'))::BIGINT AS scanned, (count(*) FILTER (action IN ('new', 'changed')))::BIGINT AS processed, (count(*) FILTER (action IN ('unchanged', 'touched')))::BIGINT AS skipped, (count(*) FILTER (action = 'removed'))::BIGINT AS removed, "
+    "(sum(length(source_path) % 4 + 1) FILTER (action IN ('new', 'changed') AND length(source_path) % 3 <> 0))::BIGINT AS chunks_added, (count(*) FILTER (action IN ('new', 'changed') AND length(source_path) % 3 <> 0))::BIGINT AS with_text, "
+    "(count(*) FILTER (action IN ('new', 'changed') AND length(source_path) % 3 = 0))::BIGINT AS errors FROM c"
+)
+BASE_ROUND_TRIP = (
+    f"SELECT 'two' AS base_id, substring(sha256('two' || chr(1) || chunk_id), 1, 24) AS chunk_id, source_id, source_name, source_type, location, text, url, true AS bare FROM {CHUNKS} c WHERE base_id = (SELECT min(base_id) FROM source_chunks) AND location IS NOT NULL AND text IS NOT NULL AND source_name IS NOT NULL AND source_type IS NOT NULL"
+)

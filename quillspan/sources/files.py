@@ -98,10 +98,10 @@ def block_segments(text: str) -> list[Segment]:
     return out
 
 
-def rtf_text(text: str) -> str:
-    text = re.sub(r"\\'[0-9a-fA-F]{2}", " ", text)
-    text = re.sub(r"\\[a-zA-Z]+-?\d* ?", " ", text)
-    for escaped, plain in ((r"\{", "{"), (r"\}", "}"), ("\\\\", "\\")):
+def rtf_text(text: str, escapes: bool = True) -> str:
+    """The text between control words; the web profile doesn't know escaped signs."""
+    text = re.sub(r"\\[a-zA-Z]+-?\d* ?", " ", re.sub(r"\\'[0-9a-fA-F]{2}", " ", text))
+    for escaped, plain in ((r"\{", "{"), (r"\}", "}"), ("\\\\", "\\")) if escapes else ():
         text = text.replace(escaped, plain)
     return re.sub(r"[{}]", " ", text)
 
@@ -260,7 +260,7 @@ READERS: dict[str, dict[str, Callable[[bytes], list[Segment]]]] = {
         ".docx": docx_blocks,
         ".txt": lambda raw: block_segments(decode(raw)),
         ".md": lambda raw: block_segments(decode(raw)),
-        ".rtf": lambda raw: block_segments(" ".join(re.sub(r"[{}]", " ", re.sub(r"\\[a-zA-Z]+-?\d* ?", " ", re.sub(r"\\'[0-9a-fA-F]{2}", " ", decode(raw)))).split())),
+        ".rtf": lambda raw: block_segments(" ".join(rtf_text(decode(raw), escapes=False).split())),
         ".html": lambda raw: block_segments(markup_text(decode(raw))),
         ".htm": lambda raw: block_segments(markup_text(decode(raw))),
         ".xml": lambda raw: block_segments(markup_text(decode(raw))),
@@ -273,39 +273,55 @@ READERS: dict[str, dict[str, Callable[[bytes], list[Segment]]]] = {
 }
 
 
+def _taken_apart(path: str, profile: str, content: Callable[[], bytes]) -> list[tuple]:
+    """The rows of SEGMENTS of one file; a row with the error if it can't be read."""
+    reader = READERS[profile].get(os.path.splitext(path)[1].lower())
+    if reader is None:
+        return [(path, None, None, None, None, None, "unsupported file")] if profile == "web" else []
+    try:
+        return [(path, i, t, where, m, u, None) for i, (t, where, m, u) in enumerate(reader(content()))]
+    except Exception as e:  # a broken file must not stop the others
+        return [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+
+
+def _segment_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+    frame["seg_idx"] = frame["seg_idx"].astype("Int32")
+    return frame
+
+
 def read_segments(listing: DataFrame, profile: str = "desktop") -> DataFrame:
     """The segments of every listed file; a file that can't be read gives one row with its error.
 
     Unknown extensions give nothing in the desktop profile and an error in the
     web one, which refuses the whole listing if a file is too large.
     """
-    readers = READERS[profile]
     if profile == "web":
         listing = refuse_large(listing)
 
+    def content_of(path: str) -> bytes:
+        with open(path, "rb") as f:
+            return f.read()
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SEGMENTS.split(", ")]
         for batch in batches:
-            out = []
-            for path in batch["source_path"]:
-                reader = readers.get(os.path.splitext(path)[1].lower())
-                if reader is None:
-                    if profile == "web":
-                        out.append((path, None, None, None, None, None, "unsupported file"))
-                    continue
-                try:
-                    with open(path, "rb") as f:
-                        found = reader(f.read())
-                    out += [(path, i, t, where, m, u, None) for i, (t, where, m, u) in enumerate(found)]
-                except Exception as e:  # a broken file must not stop the others
-                    out.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            frame = pd.DataFrame(out, columns=columns)
-            frame["seg_idx"] = frame["seg_idx"].astype("Int32")
-            yield frame
+            yield _segment_frame([r for path in batch["source_path"] for r in _taken_apart(path, profile, lambda: content_of(path))])  # noqa: B023
 
     return listing.select("source_path").mapInPandas(read, SEGMENTS)
 
 
+def content_segments(files: DataFrame, profile: str = "desktop") -> DataFrame:
+    """As ``read_segments``, of contents at hand: (source_path, content), as Spark's own source of binary files has them."""
+    if profile == "web":
+        refuse_large(files.select(F.col("source_path").alias("source_name"), F.length("content").alias("size")))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _segment_frame([r for path, raw in zip(batch["source_path"], batch["content"]) for r in _taken_apart(path, profile, lambda: bytes(raw))])  # noqa: B023
+
+    return files.select("source_path", "content").mapInPandas(read, SEGMENTS)
+
+
 def mirrored(listing: DataFrame, target: str, tries: int = 3) -> DataFrame:
     """(source_path, target_path, error): every listed file copied below ``target``, where its size or time differs from the copy.
 

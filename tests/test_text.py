@@ -90,8 +90,6 @@ def test_rtf_and_markup(spark):
 def test_markup_of_all_documents_equals_a_parser(spark, tmp_path):
     from html.parser import HTMLParser
 
-    from quillspan import catalogue
-
     class Body(HTMLParser):
         def __init__(self, inside):
             super().__init__()
@@ -111,8 +109,7 @@ def test_markup_of_all_documents_equals_a_parser(spark, tmp_path):
         "AT&T &copy; R&D a<!-- <b>x</b> & --> b", "sin marcas", "", "2 < 3 & 4 > 1", "&Ntilde;and&uacute; &iquest;qu&eacute;? &euro; &ldquo;s&iacute;&rdquo;",
     ]
     rows = [*enumerate(texts), (99, None)]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.plain for r in catalogue.QUERIES["html_text_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.plain for r in spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", X.html_text("text").alias("plain")).collect()}
     want = {99: None}
     for i, text in enumerate(texts):
         parser = Body("<body" not in text.lower())
