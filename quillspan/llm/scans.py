@@ -585,8 +585,9 @@ def judged_words(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = stored(_body_lines(with_next_line(labelled)), "body_lines")
     plain = lines.select("page_id", "line_no", F.explode("tokens").alias("token"))
     # each spelling is looked at once, however often it occurs
-    spelt = plain.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("word", _word_udf("token")).filter(F.length("word") > 1)
-    spelt = stored(spelt, "spelt")
+    spelt = plain.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("word", _word_udf("token"))
+    # stored before it is filtered: a filter would be moved to where the tokens aren't counted yet
+    spelt = stored(spelt, "spelt").filter(F.length("word") > 1)
     counts = stored(spelt.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     split = lines.filter("joined is not null").select("page_id", "line_no", "joined.*").mapInPandas(_halves, _HALVES)
 
