@@ -78,12 +78,23 @@ def date_precision(text: Column) -> Column:
     return F.when(text.rlike("(?i)" + P.WEB_DATE_PRECISE), 2).when(has_year(text), 1).otherwise(0)
 
 
+def date_bonus(text: Column) -> Column:
+    """What a text with a date adds where a date is asked for."""
+    return F.when(has_year(text), F.when(text.rlike("(?i)" + P.WEB_DATE), 0.18).otherwise(0.08)).otherwise(0.0)
+
+
+def person_bonus(text: Column) -> Column:
+    return F.when(text.rlike(P.WEB_PERSON), 0.08).otherwise(0.0)
+
+
+def change_bonus(t_normal: Column) -> Column:
+    return F.when(any_of(t_normal, P.WEB_CHANGES), 0.08).otherwise(0.0)
+
+
 def evidence_intent_bonus(q_normal: Column, text: Column, t_normal: Column) -> Column:
     """Of the web profile: what the question asks for is there."""
-    date = F.when(any_of(q_normal, P.WEB_ASKS["date"]) & has_year(text), F.when(text.rlike("(?i)" + P.WEB_DATE), 0.18).otherwise(0.08)).otherwise(0.0)
-    person = F.when(any_of(q_normal, P.WEB_ASKS["person"]) & text.rlike(P.WEB_PERSON), 0.08).otherwise(0.0)
-    change = F.when(any_of(q_normal, P.WEB_ASKS["change"]) & any_of(t_normal, P.WEB_CHANGES), 0.08).otherwise(0.0)
-    return F.coalesce(date + person + change, F.lit(0.0))
+    given = (("date", date_bonus(text)), ("person", person_bonus(text)), ("change", change_bonus(t_normal)))
+    return sum((F.when(any_of(q_normal, P.WEB_ASKS[what]), bonus).otherwise(0.0) for what, bonus in given), F.lit(0.0))
 
 
 def question_intent_bonus(q_normal: Column, text: Column, t_normal: Column) -> Column:
