@@ -32,8 +32,8 @@ PROJECTIONS = 6
 CONFIDENCE = 0.8
 #: Rows of a worker's cell; small collections get up to FEW_CELLS cells of fewer rows.
 CELL_ROWS, FEWEST_ROWS, FEW_CELLS = 131_072, 8_192, 4
-#: Fine leaves of the tree in a cell, sampled rows a leaf on which it is fitted, and the most cells.
-_FINE, SAMPLE_PER_LEAF, MOST_CELLS = 128, 16, 1_024
+#: Fine leaves of the tree in a cell, sampled rows a leaf on which it is fitted, and the most leaves: with many cells each has fewer, one at least.
+_FINE, SAMPLE_PER_LEAF, MOST_LEAVES = 128, 16, 131_072
 SEED = 20_011
 _LEAF = 384
 
@@ -255,8 +255,8 @@ class _Cells(NamedTuple):
 
 def _fit(vectors: DataFrame, n: int, dimensions: int, projections: int) -> _Cells:
     wanted = max(n / CELL_ROWS, min(FEW_CELLS, n / FEWEST_ROWS), 1)
-    cells = min(1 << math.ceil(math.log2(wanted)), MOST_CELLS)
-    fine = cells * _FINE
+    cells = min(1 << math.ceil(math.log2(wanted)), MOST_LEAVES)
+    fine = min(cells * _FINE, MOST_LEAVES)
     g = directions(dimensions, projections)
     want = fine * SAMPLE_PER_LEAF
     share = min(1.0, want / max(1, n))
@@ -264,10 +264,10 @@ def _fit(vectors: DataFrame, n: int, dimensions: int, projections: int) -> _Cell
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             p = _matrix(batch["vector"], dimensions) @ g if len(batch) else np.zeros((0, projections), np.float32)
-            yield pd.DataFrame({"p": [x.tobytes() for x in p.astype(np.float32)]})
+            yield pd.DataFrame({"p": [p.astype(np.float32).tobytes()]})
 
     picked = vectors.filter(F.pmod(F.xxhash64("vid", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("vid", "vector")
-    sample = picked.mapInPandas(project, "p binary").limit(2 * want).collect()
+    sample = picked.mapInPandas(project, "p binary").collect()  # a sample of about so many vectors, a row a batch
     points = np.frombuffer(b"".join(bytes(r.p) for r in sample), np.float32).reshape(-1, projections)
     tree = build_tree(points, min(fine, max(1, len(points) // 4)))
     leaves = tree.leaves
@@ -335,15 +335,15 @@ def nearest_vectors(vectors: DataFrame, k: int, dimensions: int = DIMENSIONS, pr
             {"vid": cell.ids, "vector": [x.tobytes() for x in cell.vectors], "worst": worst, "nids": _lists(who), "sims": _lists(best), "visits": _lists(visits)}
         )
 
-    first = placed.groupBy("cell").applyInPandas(own, "vid bigint, vector binary, worst float, nids array<bigint>, sims array<float>, visits array<int>")
+    # every cell is a task of its own
+    first = placed.repartitionById(int(fitted.value.cell.max(initial=0)) + 1, "cell").groupBy("cell").applyInPandas(own, "vid bigint, vector binary, worst float, nids array<bigint>, sims array<float>, visits array<int>")
     first = stored(first, "own-cell")
     guests = first.select(F.explode("visits").alias("cell"), "vid", "vector", "worst")
     # a cell with very many guests is searched in several tasks, each with a copy of the cell
-    crowd = guests.groupBy("cell").count().collect()  # a row per cell, at most MOST_CELLS
-    parts = {r["cell"]: max(1, -(-r["count"] // (2 * CELL_ROWS))) for r in crowd}
-    table = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else None
-    if table is not None:
-        shares = F.coalesce(table[F.col("cell")], F.lit(1))
+    crowd = guests.groupBy("cell").count().collect()  # a row per cell
+    parts = {r["cell"]: -(-r["count"] // (2 * CELL_ROWS)) for r in crowd if r["count"] > 2 * CELL_ROWS}
+    if crowd:
+        shares = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("cell")], F.lit(1)) if parts else F.lit(1)
         guests = guests.withColumn("part", F.pmod(F.xxhash64("vid"), shares).cast("int"))
         hosts = placed.withColumn("part", F.explode(F.sequence(F.lit(0), shares - 1)))
 
