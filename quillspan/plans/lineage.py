@@ -44,7 +44,7 @@ _written: list[str] = []
 
 
 def forget(spark: SparkSession) -> int:
-    """Deletes the tables that ``stored`` wrote in this process; for when their results have been written or read."""
+    """Deletes the tables and files that ``stored`` and ``written`` wrote in this process; for when their results have been written or read."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     while _written:
@@ -53,6 +53,19 @@ def forget(spark: SparkSession) -> int:
     return gone
 
 
+def written(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a small file in the shared folder, on whatever storage that is; returns its address."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    _written.append(path.toString())
+    return fs.makeQualified(path).toString()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
