@@ -12,14 +12,14 @@ import heapq
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.lexicon import Lexicon, compile_lexicon
-from quillspan.plans.lineage import shared_dir
+from quillspan.plans.lineage import written
 
 FREQUENT_WORDS = 32_768
 LONGEST_WORD = 48
@@ -115,20 +115,15 @@ def frequent_words(texts: DataFrame, column: str, pattern: str, most: int = FREQ
 def publish_lexicon(spark: SparkSession, words: list[str], ranks: dict[bytes, int]):
     """A function that gives a worker the lexicon of ``words``.
 
-    The tables, bounded by FREQUENT_WORDS words of LONGEST_WORD characters, lie
-    as one file in the shared folder and are mapped; where that folder is no
-    mounted file system they are broadcast.
+    The tables, bounded by FREQUENT_WORDS words of LONGEST_WORD characters, are
+    one file in the shared folder. Spark hands it to every executor, one that
+    starts later too, and the workers of a machine map the same copy.
     """
     entries = sorted({w.encode() for w in words})
     tables = compile_lexicon([(w, merge(w, ranks)) for w in entries])
-    target = urlparse(shared_dir(spark))
-    if target.scheme in ("", "file"):
-        path = f"{unquote(target.path).rstrip('/')}/lexicon-{uuid.uuid4().hex}.bin"
-        with open(path, "wb") as f:
-            f.write(tables)
-        return lambda: Lexicon.map_file(path)
-    sent = spark.sparkContext.broadcast(tables)
-    return lambda: Lexicon(sent.value)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    spark.sparkContext.addFile(written(spark, name, tables))
+    return lambda: Lexicon.map_file(SparkFiles.get(name))
 
 
 def encode_corpus(
