@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SALTS = 8
+LONGEST_NAME = 1_024
 
 _BLANKS = re.compile(r"[\s_]+")
 _EXTENSION = re.compile(r"^(.*?)\s*(\.[a-z0-9]{1,5})$")
@@ -34,14 +35,16 @@ def spelling_key(name: str) -> str:
 
 
 def candidate_keys(name: str | None) -> list[str]:
-    """The name's key, then the keys of what it may be a copy of, least stripped first."""
+    """The name's key, then the keys of what it may be a copy of, least stripped first; what is longer than LONGEST_NAME is no copy."""
     if name is None or not name.strip():
         return []
     key = spelling_key(name)
+    if len(key) > LONGEST_NAME:
+        return [key]
     match = _EXTENSION.match(key)
     base, extension = (match.group(1), match.group(2)) if match else (key, "")
     seen, frontier = [base], [base]
-    while frontier and len(seen) < 24:
+    while frontier:  # every step makes names shorter
         grown = []
         for b in frontier:
             for pattern in (_PREFIX, *_SUFFIXES):
@@ -80,7 +83,7 @@ def with_file_key(rows: DataFrame, manifest: DataFrame, name: str, out: str = "f
     resolved = (
         tried.join(known, "__key", "left")
         .groupBy("__name")
-        .agg(F.min(F.struct(F.when(F.col("__known"), F.col("__pos")).otherwise(F.col("__pos") + 1000), F.col("__key").alias("key"))).alias("__best"))
+        .agg(F.min(F.struct(F.when(F.col("__known"), F.col("__pos")).otherwise(F.col("__pos") + LONGEST_NAME * LONGEST_NAME), F.col("__key").alias("key"))).alias("__best"))
         .select("__name", F.col("__best.key").alias(out), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     )
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(SALTS)).cast("int"))

@@ -207,3 +207,12 @@ def test_units_and_pieces_come_from_one_pass(spark):
     assert {p[2] for p in found} <= set(units)
     df = spark.createDataFrame([(1, text), (1, text), (2, "corto"), (3, None)], "chunk_id bigint, text string")
     assert sorted((r.chunk_id, r.start_pos) for r in splitting.natural_starts(df).collect()) == [(1, u) for u in units]
+
+
+def test_copies_of_copies_of_a_file():
+    from quillspan.llm import filenames
+
+    name = "copia de " * 9 + "Informe final" + " (1)" * 9 + " - copia" * 9 + ".pdf"
+    assert "informe final.pdf" in filenames.candidate_keys(name)
+    long = "a 1" * 2_000
+    assert filenames.candidate_keys(long) == [filenames.spelling_key(long)]
