@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.llm.folding import without_marks
+
 SALTS = 8
 LONGEST_NAME = 1_024
 
@@ -28,7 +29,7 @@ _SUFFIXES = (
 
 def spelling_key(name: str) -> str:
     """A name without case, accents, blanks' number and underscores."""
-    folded = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    folded = without_marks(name.lower())
     folded = _BLANKS.sub(" ", folded).strip()
     match = _EXTENSION.match(folded)
     return match.group(1).strip() + match.group(2) if match else folded

@@ -13,7 +13,6 @@ from which usual confusions of characters lead to it.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.llm.folding import without_marks
 from quillspan.plans.lineage import stored
 
 STATES = ("header", "number", "heading", "body")
@@ -55,7 +55,7 @@ _LOWER_START = re.compile(r"^[a-zà-öø-ÿ]")
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return without_marks(text.lower())
 
 
 def line_key(line: str) -> str:

@@ -10,12 +10,13 @@ numbers of larger, equal and smaller registers give a joint estimate.
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import xxhash
 
+from quillspan.llm.folding import without_marks
+
 REGISTERS = 200
 BASE = 1.02
 _MOST = 2**15 - 2
@@ -28,10 +29,7 @@ _S30, _S27, _S31, _S29 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(
 
 def words(text: str) -> list[str]:
     """Runs of ASCII letters and digits after lower-casing and dropping combining marks (NFKD)."""
-    lowered = text.lower()
-    if not lowered.isascii():
-        lowered = "".join(c for c in unicodedata.normalize("NFKD", lowered) if not unicodedata.combining(c))
-    return _WORD.findall(lowered)
+    return _WORD.findall(without_marks(text.lower()))
 
 
 @lru_cache(maxsize=200_000)

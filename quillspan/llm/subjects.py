@@ -11,7 +11,6 @@ the subjects whose topics have a large enough proportion in it.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.boundaries import HEADING, boundaries
+from quillspan.llm.folding import without_marks
 from quillspan.plans.lineage import stored
 
 #: The vocabulary's bound, the labelled documents that give the prior, the terms by which a topic is inspected, the subjects that are accepted, and the letters of a word.
@@ -42,7 +42,7 @@ def terms(text: str) -> list[str]:
     """Folded words of three letters or more; Cyrillic and Greek letters inside Latin words as what they look like."""
     if text.isascii():
         return _WORD.findall(text.lower())
-    folded = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    folded = without_marks(text.lower())
     out = _WORD.findall(folded)
     if not folded.isascii():
         out = [w.translate(_LOOKALIKE) if not w.isascii() and re.search("[a-z]", w) else w for w in out]

@@ -145,3 +145,13 @@ def test_chi_square():
 def test_tree_with_equal_points():
     tree = N.build_tree(np.zeros((50, 6), np.float32), 8)
     assert tree.leaves == 1 and set(tree.leaf_of(np.ones((3, 6), np.float32))) == {0}
+
+
+def test_folding_is_that_of_the_whole_text():
+    import unicodedata
+
+    from quillspan.llm.folding import without_marks
+
+    every = "".join(map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x20000)]))
+    for text in (every, "ẹ́ñ ﬁ 각 ẛ̣ ½ ™"):
+        assert without_marks(text) == "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
