@@ -441,7 +441,7 @@ def _body_lines(labelled: DataFrame) -> DataFrame:
     text = F.col("text")
     # the rest of a word from the line or page before is no word of its own
     rest = F.when(F.col("place") > 0, divided(F.col("before"), text)).otherwise(F.coalesce(F.col("continued") & goes_on(text), F.lit(False)))
-    x = x.select("page_id", F.col("no").alias("line_no"), "text", F.array_remove(F.split(text, _BLANKS), "").alias("tokens"), rest.cast("int").alias("rest"), divided(text, F.col("after.text")).alias("divided"), "after")
+    x = x.select("page_id", F.col("no").alias("line_no"), "text", F.array_remove(F.split(F.regexp_replace(text, _BLANKS, " "), " "), "").alias("tokens"), rest.cast("int").alias("rest"), divided(text, F.col("after.text")).alias("divided"), "after")
     x = x.withColumn("divided", F.col("divided") & (F.size("tokens") > F.col("rest")))
     half = F.regexp_replace(F.regexp_replace(F.element_at("tokens", -1), "[-­¬‐‑]$", ""), r"(?U)^[^\w!€@|$£]+", "")
     other = F.regexp_replace(F.regexp_extract("after.text", rf"^{_BLANKS[:-1]}*(.*?)(?:{_BLANKS[:-1]}|\z)", 1), r"(?U)[^\w€@|$£]+$", "")
