@@ -122,14 +122,16 @@ def _asked_results(s, d, *columns):
 
 @query(f"SELECT result_id, round({O.keyword_overlap('query_text', 'snippet')}, 6) AS score FROM {O.RESULTS} r JOIN queries USING (query_id)")
 def coverage_score(s, d):
-    q, t = X.normalize_desktop("query_text"), X.normalize_desktop("snippet")
-    return _asked_results(s, d).select("result_id", r6(S.keyword_overlap(q, tokens_desktop("query_text", q), t, tokens_desktop("snippet", t))).alias("score"))
+    x = _asked_results(s, d).withColumn("q", X.normalize_desktop("query_text")).withColumn("t", X.normalize_desktop("snippet"))
+    x = x.withColumn("qt", tokens_desktop("", F.col("q"))).withColumn("tt", tokens_desktop("", F.col("t")))
+    return x.select("result_id", r6(S.keyword_overlap(F.col("q"), F.col("qt"), F.col("t"), F.col("tt"))).alias("score"))
 
 
 @query(f"SELECT result_id, round({O.lexical('query_text', 'snippet')}, 6) AS score FROM {O.RESULTS} r JOIN queries USING (query_id)")
 def lexical_score(s, d):
-    q, t = X.normalize_web("query_text"), X.normalize_web("snippet")
-    return _asked_results(s, d).select("result_id", r6(S.lexical_score(q, tokens_web("query_text", q), t, tokens_web("snippet", t))).alias("score"))
+    x = _asked_results(s, d).withColumn("q", X.normalize_web("query_text")).withColumn("t", X.normalize_web("snippet"))
+    x = x.withColumn("qt", tokens_web("", F.col("q"))).withColumn("tt", tokens_web("", F.col("t")))
+    return x.select("result_id", r6(S.lexical_score(F.col("q"), F.col("qt"), F.col("t"), F.col("tt"))).alias("score"))
 
 
 @query(f"SELECT result_id, query_id FROM {O.RESULTS} r JOIN queries USING (query_id) WHERE length({O.norm_web('query_text')}) >= 8 AND contains({O.norm_web('snippet')}, {O.norm_web('query_text')})")

@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PY_BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_JS_BLANK = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# most characters are printable ASCII, which the first half of a class refuses at once
+_PY_BLANK = r"[[^!-~]&&[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+_JS_BLANK = r"[[^!-~]&&[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
 _PY_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -23,7 +24,7 @@ def col(c: str | Column) -> Column:
 
 def squeezed(c: str | Column, blank: str = _PY_BLANK) -> Column:
     """Runs of blanks as one space, none at the ends."""
-    return stripped(F.regexp_replace(col(c), blank + "+", " "), blank)
+    return F.trim(F.regexp_replace(col(c), blank + "+", " "))
 
 
 def stripped(c: str | Column, blank: str = _PY_BLANK) -> Column:
@@ -73,7 +74,8 @@ def _several_class() -> str:
 def folded(c: str | Column) -> Column:
     """Letters without marks (NFKD). Signs that stand for several letters or digits are spelt out in the Latin blocks."""
     source, target, several = _folding()
-    x = F.translate(col(c), source, target)
+    # the one that is common in texts goes first, so that few have another
+    x = F.replace(F.translate(col(c), source, target), F.lit("…"), F.lit("..."))
     spelt = x
     for sign, letters in several:
         spelt = F.replace(spelt, F.lit(sign), F.lit(letters))
