@@ -3,15 +3,23 @@
 Unit vectors are projected onto a few random directions with normally
 distributed (2-stable) entries. A squared projected distance divided by the
 squared true one then follows a chi-square distribution, whatever the vectors
-are. The projections are indexed by a kd-tree whose cells are spread over the
+are. The projections are indexed by kd-trees, which are spread over the
 workers. A vector's neighbours are verified with their exact similarity in the
 order in which the tree yields projected neighbours, and the search stops when
 any vector that is still unseen would, by the chi-square test, be closer than
 the k-th one found with a probability below 1 - ``confidence``.
 
-Two rounds suffice: the own cell bounds the k-th distance, and the cells that
-the resulting ball touches finish the search. The tree is fitted on a bounded
-sample; every row is indexed. Equal vectors are searched once.
+The vectors are divided among cells so that groups of alike vectors stay
+together, and a cell puts them into leaves: a ball with a mean and a radius each,
+large ones cut by the kd-tree. A leaf is left out for a vector if the triangle
+inequality in the full space excludes it or if its box fails the test. So work
+follows the size of the leaves around a vector and not that of the table, which
+the projections alone can't give: a ball in 6 dimensions holds a fixed share of
+all vectors.
+
+Two rounds suffice: the own cell bounds the k-th distance, and the cells with
+leaves that the resulting ball touches finish the search. The centres are fitted
+on a bounded sample; every row is searched. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -31,9 +39,11 @@ DIMENSIONS = 64
 PROJECTIONS = 6
 CONFIDENCE = 0.8
 #: Rows of a worker's cell; small collections get up to FEW_CELLS cells of fewer rows.
-CELL_ROWS, FEWEST_ROWS, FEW_CELLS = 131_072, 8_192, 4
-#: Fine leaves of the tree in a cell, sampled rows a leaf on which it is fitted, and the most leaves: with many cells each has fewer, one at least.
-_FINE, SAMPLE_PER_LEAF, MOST_LEAVES = 128, 16, 131_072
+CELL_ROWS, FEWEST_ROWS, FEW_CELLS = 65_536, 8_192, 12
+#: Sampled rows a cell on which the centres are fitted, and the most of all; the rounds of fitting; lists of centres that are tried for a vector.
+SAMPLE_PER_CELL, MOST_SAMPLED, _ROUNDS, _TRIED = 2_048, 262_144, 5, 6
+#: A leaf's vectors lie, along any direction, so many standard deviations of its widest direction around its mean.
+_DEVIATIONS = 4
 SEED = 20_011
 _LEAF = 384
 
@@ -120,86 +130,157 @@ def build_tree(sample: np.ndarray, leaves: int) -> Tree:
     )
 
 
-def _box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distances of points to boxes, points x boxes."""
-    out = np.zeros((len(points), len(low)), np.float32)
-    for a in range(points.shape[1]):
-        x = points[:, a : a + 1]
-        gap = np.maximum(np.maximum(low[None, :, a] - x, x - high[None, :, a]), 0)
-        out += gap * gap
-    return out
+def _near(vectors: np.ndarray, k: int) -> float:
+    """The similarity at twice the usual distance to the k-th neighbour."""
+    n = len(vectors)
+    some = np.arange(0, n, -(-n // 256))
+    sims = vectors[some] @ vectors.T
+    sims[np.arange(len(some)), some] = -3
+    return min(4 * float(np.median(np.partition(sims, n - k, axis=1)[:, n - k])) - 3, 0.9999)
+
+
+def _groups(vectors: np.ndarray, near: float, most: int) -> list[np.ndarray]:
+    """Groups of unit vectors with one to which all others have the similarity ``near``; what remains after ``most`` groups is one."""
+    rng = np.random.default_rng(SEED)
+    left, groups = np.arange(len(vectors)), []
+    while len(left):
+        if len(groups) > most:
+            groups.append(left)
+            break
+        picks: list[int] = []
+        tried = vectors[rng.choice(left, min(64, len(left)), replace=False)]
+        alike = tried @ tried.T >= near
+        for i in range(len(tried)):
+            if not alike[i, picks].any():
+                picks.append(i)
+        sims = vectors[left] @ tried[picks].T
+        owner, covered = sims.argmax(1), sims.max(1) >= near
+        by = np.flatnonzero(covered)[np.argsort(owner[covered], kind="stable")]
+        groups += [g for g in np.split(left[by], np.cumsum(np.bincount(owner[covered], minlength=len(picks)))[:-1]) if len(g)]
+        left = left[~covered]
+    return groups
+
+
+def _reach_of(far: np.ndarray, inner: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+    """A similarity that the k-th neighbour has at least; ``far``: squared distances to the means of leaves.
+
+    The squared distances of a point to a leaf's vectors sum up to count * (far + inner), so at most
+    count - k of them can be beyond the share that count - k vectors would have each.
+    """
+    full = count > k
+    if not full.any():
+        return np.full(len(far), -2.0, np.float32)
+    share = count[full] / (count[full] - k)
+    return (1 - ((far[:, full] + inner[full]) * share).min(1) / 2 - 1e-4).astype(np.float32)
+
+
+def _distance(similarity: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * similarity, 0)) + np.float32(1e-4)
 
 
 class Cell:
-    """The vectors of one cell in small leaves of a local kd-tree."""
+    """The vectors of one cell in leaves of alike vectors, large groups cut by a kd-tree of their projections."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray) -> None:
-        groups = [np.arange(len(ids))]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, k: int) -> None:
         done = []
-        while groups:
-            g = groups.pop()
+        n = len(vectors)
+        small = n <= max(_LEAF, k + 1)
+        for g in [np.arange(n)] * bool(n) if small else _groups(vectors, _near(vectors, k), n // 32):
             if len(g) <= _LEAF:
                 done.append(g)
                 continue
-            p = projected[g]
-            order = np.argsort(p[:, np.argmax(p.max(0) - p.min(0))], kind="stable")
-            half = len(g) // 2
-            groups += [g[order[:half]], g[order[half:]]]
+            at = build_tree(projected[g], -(-len(g) // _LEAF)).leaf_of(projected[g])
+            done += [g[at == i] for i in np.unique(at)]
         order = np.concatenate(done) if done else np.zeros(0, np.int64)
-        self.order = order
         self.ids, self.vectors, self.projected = ids[order], np.ascontiguousarray(vectors[order]), projected[order]
         self.edges = np.cumsum([0, *map(len, done)])
-        self.low = np.array([projected[g].min(0) for g in done], np.float32).reshape(-1, projected.shape[1])
-        self.high = np.array([projected[g].max(0) for g in done], np.float32).reshape(-1, projected.shape[1])
-
-    def search(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, worst: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and similarities of up to k vectors better than ``worst``, others marked -2.
-
-        ``factor`` is the chi-square quantile of the stopping test.
+        m, start = np.diff(self.edges), self.edges[:-1]
+        self.leaf = np.repeat(np.arange(len(done)), m)
+        self.count = m.astype(np.float32)
+        self.centre = np.zeros((0, vectors.shape[1]), np.float32)
+        self.radius = self.inner = np.zeros(0, np.float32)
+        self.low = self.high = np.zeros((0, projected.shape[1]), np.float32)
+        if done:
+            self.centre = np.add.reduceat(self.vectors, start, axis=0) / self.count[:, None]
+            apart = self.vectors - self.centre[self.leaf]
+            apart = (apart * apart).sum(1)
+            self.radius, self.inner = np.sqrt(np.maximum.reduceat(apart, start)), np.add.reduceat(apart, start) / self.count
+            self.low, self.high = np.minimum.reduceat(self.projected, start, axis=0), np.maximum.reduceat(self.projected, start, axis=0)
+
+    def search(self, vectors: np.ndarray, projected: np.ndarray, worst: np.ndarray, k: int, factor: float, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids and similarities of up to k vectors better than ``worst``, others marked -2, and what the k-th has at least.
+
+        ``factor`` is the chi-square quantile of the stopping test; ``own``: the vectors are those of the cell, in its order.
         """
-        best = np.full((len(ids), k), -2.0, np.float32)
-        who = np.full((len(ids), k), -1, np.int64)
-        if not len(self.ids) or not len(ids):
-            return who, best
-        nearest = _box_distance(projected, self.low, self.high)
-        home = np.argmin(nearest, axis=1)
+        n = len(vectors)
+        best = np.full((n, k), -2.0, np.float32)
+        who = np.full((n, k), -1, np.int64)
+        reach = np.maximum(worst, np.float32(-2))
+        if not len(self.ids) or not n:
+            return who, best, reach
+        norm = 1 + (self.centre * self.centre).sum(1)
+        home = np.concatenate([(norm - 2 * (vectors[i : i + 4096] @ self.centre.T)).argmin(1) for i in range(0, n, 4096)]) if not own else self.leaf
         by_home = np.argsort(home, kind="stable")
-        for start in range(0, len(ids), _LEAF):
-            q = by_home[start : start + _LEAF]
-            gaps = nearest[q]
-            reach = np.maximum(worst[q], -2.0)
-            top, top_who = best[q], who[q]
-            for leaf in np.argsort(gaps.min(0), kind="stable"):
-                radius = (2 - 2 * np.minimum(reach, 1)) * factor + 1e-6
-                open_rows = np.flatnonzero(gaps[:, leaf] <= radius)
-                if not len(open_rows):
-                    if gaps[:, leaf].min() > radius.max():
-                        break
-                    continue
-                a, b = self.edges[leaf], self.edges[leaf + 1]
-                sims = vectors[q[open_rows]] @ self.vectors[a:b].T
-                sims[ids[q[open_rows]][:, None] == self.ids[None, a:b]] = -3
-                hit = np.flatnonzero(sims.max(1) >= reach[open_rows])
-                if not len(hit):
-                    continue
-                rows, sims = open_rows[hit], sims[hit]
-                both = np.concatenate([top[rows], sims], axis=1)
-                pick = np.argpartition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.broadcast_to(np.arange(k), (len(rows), k))
-                everyone = np.concatenate([top_who[rows], np.broadcast_to(self.ids[a:b], sims.shape)], axis=1)
-                top[rows] = np.take_along_axis(both, pick, 1)
-                top_who[rows] = np.take_along_axis(everyone, pick, 1)
-                reach[rows] = np.maximum(reach[rows], top[rows].min(1))
-            best[q], who[q] = top, top_who
+
+        def look(rows: np.ndarray, leaf: int) -> None:
+            a, b = self.edges[leaf], self.edges[leaf + 1]
+            sims = vectors[rows] @ self.vectors[a:b].T
+            if own:
+                me = np.flatnonzero((rows >= a) & (rows < b))
+                sims[me, rows[me] - a] = -3
+            hit = np.flatnonzero(sims.max(1) >= reach[rows])
+            if not len(hit):
+                return
+            rows, sims = rows[hit], sims[hit]
+            if sims.shape[1] > k:
+                pick = np.argpartition(sims, sims.shape[1] - k, axis=1)[:, -k:]
+                sims = np.take_along_axis(sims, pick, 1)
+                names = self.ids[a:b][pick]
+            else:
+                names = np.broadcast_to(self.ids[a:b], sims.shape)
+            both, names = np.concatenate([best[rows], sims], axis=1), np.concatenate([who[rows], names], axis=1)
+            pick = np.argpartition(both, both.shape[1] - k, axis=1)[:, -k:]
+            best[rows] = np.take_along_axis(both, pick, 1)
+            who[rows] = np.take_along_axis(names, pick, 1)
+            reach[rows] = np.maximum(reach[rows], best[rows].min(1))
+
+        for start in range(0, n, 512):
+            q = by_home[start : start + 512]
+            homes = home[q]
+            for leaf in np.unique(homes):
+                look(q[homes == leaf], leaf)
+            far = np.maximum(norm - 2 * (vectors[q] @ self.centre.T), 0)
+            reach[q] = np.maximum(reach[q], _reach_of(far, self.inner, self.count, k))
+            r = _distance(reach[q])
+            rows, leaves = np.nonzero(far <= (r[:, None] + self.radius) ** 2)
+            other = leaves != homes[rows]
+            rows, leaves = rows[other], leaves[other]
+            if not len(rows):
+                continue
+            gap = np.maximum(np.maximum(self.low[leaves] - projected[q[rows]], projected[q[rows]] - self.high[leaves]), 0)
+            gap = (gap * gap).sum(1)
+            keep = gap <= r[rows] ** 2 * factor
+            rows, leaves, gap = rows[keep], leaves[keep], gap[keep]
+            by_leaf = np.argsort(leaves, kind="stable")
+            parts = np.split(by_leaf, np.flatnonzero(np.diff(leaves[by_leaf])) + 1) if len(by_leaf) else []
+            for part in sorted(parts, key=lambda x: gap[x].min()):
+                x, leaf = rows[part], leaves[part[0]]
+                r = _distance(reach[q[x]])
+                still = (gap[part] <= r * r * factor) & (far[x, leaf] <= (r + self.radius[leaf]) ** 2)
+                if still.any():
+                    look(q[x[still]], leaf)
         who[best <= -2] = -1
-        return who, best
+        best[best < -2] = -2
+        return who, best, reach
 
 
 def _usable(batch: pd.DataFrame, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the usable vectors of a batch and the vectors, of unit length."""
-    right = [i for i, e in enumerate(batch.iloc[:, 1]) if e is not None and len(e) == dimensions]
+    column = batch.iloc[:, 1].tolist()
+    right = [i for i, e in enumerate(column) if e is not None and len(e) == dimensions]
     if not right:
         return np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32)
-    v = np.stack([np.asarray(batch.iloc[i, 1], dtype=np.float64) for i in right])
+    v = np.array([column[i] for i in right], dtype=np.float64)
     with np.errstate(over="ignore", invalid="ignore"):
         largest = np.abs(v).max(1)
         good = np.isfinite(v).all(1) & (largest > 0)
@@ -242,125 +323,222 @@ def unit_vectors(rows: DataFrame, key: str, embedding: str, dimensions: int = DI
     return rows.select(key, embedding).mapInPandas(run, f"key {kind}, vid bigint, vector binary")
 
 
+def _means(sample: np.ndarray, number: int) -> np.ndarray:
+    """About so many means of a sample, fitted in a few rounds."""
+    means = sample[np.sort(np.random.default_rng(SEED).choice(len(sample), min(number, len(sample)), replace=False))]
+    for _ in range(_ROUNDS if len(means) < len(sample) else 0):
+        at = _nearest(sample, means)
+        count = np.bincount(at, minlength=len(means))
+        used = np.flatnonzero(count)
+        means[used] = np.add.reduceat(sample[np.argsort(at, kind="stable")], np.r_[0, np.cumsum(count[used])[:-1]], axis=0) / count[used][:, None]
+    return means
+
+
+def _nearest(points: np.ndarray, means: np.ndarray) -> np.ndarray:
+    norm = (means * means).sum(1) / 2
+    return np.concatenate([np.zeros(0, np.int64), *((points[i : i + 4096] @ means.T - norm).argmax(1) for i in range(0, len(points), 4096))])
+
+
 class _Cells(NamedTuple):
-    """Fine leaves of the tree with tight boxes; consecutive leaves form a worker's cell."""
+    """Centres of groups of alike vectors in lists by a coarser mean, and the cell of each; a cell holds whole groups, as far as they fit."""
 
-    tree: Tree
+    centre: np.ndarray
     cell: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+    mean: np.ndarray
+    edges: np.ndarray
+    beyond: float  # the squared distance from which on all centres are looked at
+
+    def cell_of(self, points: np.ndarray) -> np.ndarray:
+        if not len(points) or len(self.centre) == 1:
+            return np.zeros(len(points), np.int64)
+        norm = (self.centre * self.centre).sum(1) / 2
+        best, where = np.full(len(points), -9, np.float32), np.zeros(len(points), np.int64)
+        tried = points @ self.mean.T - (self.mean * self.mean).sum(1) / 2
+        few = min(_TRIED, len(self.mean))
+        tried = np.argpartition(-tried, few - 1, axis=1)[:, :few].ravel()
+        by = np.argsort(tried, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(tried[by])) + 1):
+            a, b = self.edges[tried[part[0]]], self.edges[tried[part[0]] + 1]
+            if a < b:
+                rows = part // few
+                score = points[rows] @ self.centre[a:b].T - norm[a:b]
+                at, score = score.argmax(1), score.max(1)
+                more = score > best[rows]
+                best[rows[more]], where[rows[more]] = score[more], a + at[more]
+        far = np.flatnonzero(1 - 2 * best > self.beyond)
+        step = max(1, 8_000_000 // len(self.centre))
+        for i in range(0, len(far), step):
+            rows = far[i : i + step]
+            where[rows] = (points[rows] @ self.centre.T - norm).argmax(1)
+        return self.cell[where]
+
+
+def _cells(sample: np.ndarray, cells: int) -> _Cells:
+    """Divides the groups of a sample among so many cells of about the same weight."""
+    sample = np.unique(sample, axis=0)
+    near = _near(sample, 1) if len(sample) > 1 else 0.0
+    weight = len(sample) / cells
+    centres, weights = [], []
+    for g in _groups(sample, near, len(sample) // 4):
+        parts = [g]
+        if len(g) > weight:
+            at = _nearest(sample[g], _means(sample[g], math.ceil(2 * len(g) / weight)))
+            parts = [g[at == i] for i in np.unique(at)]
+        for x in parts:
+            centres.append(sample[x].mean(0))
+            weights.append(len(x))
+    centre, mass = np.stack(centres), np.array(weights)
+    mean = _means(centre, round(math.sqrt(len(centre))))
+    at = _nearest(centre, mean)
+    by = np.argsort(at, kind="stable")
+    upto = np.cumsum(mass[by]) - mass[by] / 2
+    return _Cells(centre[by], np.minimum((upto / weight).astype(np.int64), cells - 1), mean, np.r_[0, np.cumsum(np.bincount(at, minlength=len(mean)))], 2 - 2 * near)
+
+
+def _fit(vectors: DataFrame, n: int, dimensions: int) -> tuple[_Cells, int]:
+    cells = math.ceil(max(n / CELL_ROWS, min(FEW_CELLS, n / FEWEST_ROWS), 1))
+    one = _Cells(np.zeros((1, dimensions), np.float32), np.zeros(1, np.int64), np.zeros((1, dimensions), np.float32), np.array([0, 1]), 0.0)
+    if cells == 1:
+        return one, 1
+    share = min(1.0, min(cells * SAMPLE_PER_CELL, MOST_SAMPLED) / n)
+    picked = vectors.filter(F.pmod(F.xxhash64("vid", F.lit(SEED)), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("vector")
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"v": [b"".join(batch["vector"])]})
 
+    sample = picked.mapInPandas(joined, "v binary").collect()  # a sample of about so many vectors, a row a batch
+    points = np.frombuffer(b"".join(bytes(r.v) for r in sample), np.float32).reshape(-1, dimensions)
+    return (_cells(points, cells), cells) if len(points) else (one, 1)
 
 
+class _Leaves(NamedTuple):
+    """The leaves of all cells, in the order of these."""
 
-def _fit(vectors: DataFrame, n: int, dimensions: int, projections: int) -> _Cells:
-    wanted = max(n / CELL_ROWS, min(FEW_CELLS, n / FEWEST_ROWS), 1)
-    cells = min(1 << math.ceil(math.log2(wanted)), MOST_LEAVES)
-    fine = min(cells * _FINE, MOST_LEAVES)
-    g = directions(dimensions, projections)
-    want = fine * SAMPLE_PER_LEAF
-    share = min(1.0, want / max(1, n))
+    cell: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    inner: np.ndarray
+    count: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            p = _matrix(batch["vector"], dimensions) @ g if len(batch) else np.zeros((0, projections), np.float32)
-            yield pd.DataFrame({"p": [p.astype(np.float32).tobytes()]})
-
-    picked = vectors.filter(F.pmod(F.xxhash64("vid", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("vid", "vector")
-    sample = picked.mapInPandas(project, "p binary").collect()  # a sample of about so many vectors, a row a batch
-    points = np.frombuffer(b"".join(bytes(r.p) for r in sample), np.float32).reshape(-1, projections)
-    tree = build_tree(points, min(fine, max(1, len(points) // 4)))
-    leaves = tree.leaves
-
-    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = np.full((leaves, projections), np.inf, np.float32)
-        high = np.full((leaves, projections), -np.inf, np.float32)
-        for batch in batches:
-            if len(batch):
-                p = _matrix(batch["vector"], dimensions) @ g
-                leaf = tree.leaf_of(p)
-                np.minimum.at(low, leaf, p)
-                np.maximum.at(high, leaf, p)
-        used = np.flatnonzero(low[:, 0] <= high[:, 0])
-        yield pd.DataFrame({"leaf": used, "low": _lists(low[used]), "high": _lists(high[used])})
-
-    grown = vectors.select("vector").mapInPandas(boxes, "leaf int, low array<float>, high array<float>")
-    one = grown.select("leaf", F.posexplode(F.arrays_zip("low", "high")).alias("a", "x")).groupBy("leaf", "a").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
-    low, high = np.full((leaves, projections), np.inf, np.float32), np.full((leaves, projections), -np.inf, np.float32)
-    for r in one.collect():  # the tree's leaves, a bounded number
-        low[r.leaf, r.a], high[r.leaf, r.a] = r.low, r.high
-    return _Cells(tree, np.arange(leaves) * cells // leaves, low, high)
+    def touched(self, cell: np.ndarray, leaf: np.ndarray, vectors: np.ndarray, projected: np.ndarray, reach: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell) for each other cell with a leaf that a row's ball touches, and the reach of the rows; rows of a leaf come together."""
+        reach = reach.copy()
+        r = _distance(reach)
+        norm, length = 1 + (self.centre * self.centre).sum(1), np.sqrt((self.centre * self.centre).sum(1))
+        found: list[np.ndarray] = []
+
+        def touch(rows: np.ndarray, leaves: np.ndarray, far: np.ndarray) -> None:
+            i, j = np.nonzero(far <= (r[rows][:, None] + self.radius[leaves]) ** 2)
+            i, j = rows[i], leaves[j]
+            away = self.cell[j] != cell[i]
+            i, j = i[away], j[away]
+            gap = np.maximum(np.maximum(self.low[j] - projected[i], projected[i] - self.high[j]), 0)
+            keep = (gap * gap).sum(1) <= r[i] ** 2 * factor
+            found.append(np.stack([i[keep], self.cell[j[keep]]], 1))
+
+        # rows that are far from their own neighbours are held against every leaf, the others against those that their leaf may touch
+        wide = r > 1.2 * np.median(r)
+        every = np.arange(len(self.cell))
+        step = max(1, 8_000_000 // len(every))
+        alone = np.flatnonzero(wide)
+        for i in range(0, len(alone), step):
+            rows = alone[i : i + step]
+            far = np.maximum(norm - 2 * (vectors[rows] @ self.centre.T), 0)
+            reach[rows] = np.maximum(reach[rows], _reach_of(far, self.inner, self.count, k))
+            r[rows] = _distance(reach[rows])
+            touch(rows, every, far)
+        close = np.flatnonzero(~wide)
+        runs = np.split(close, np.flatnonzero((np.diff(cell[close]) != 0) | (np.diff(leaf[close]) != 0)) + 1) if len(close) else []
+        step = max(1, 8_000_000 // len(every))
+        for i in range(0, len(runs), step):
+            some = runs[i : i + step]
+            means = np.stack([vectors[x].mean(0) for x in some])
+            apart = [vectors[x] - c for x, c in zip(some, means)]
+            spread = np.sqrt(np.maximum(np.linalg.eigvalsh(np.stack([x.T @ x for x in apart]))[:, -1], 0))
+            dots = means @ self.centre.T
+            for x, dot, s in zip(some, dots, spread):
+                s *= min(1, _DEVIATIONS / math.sqrt(len(x)))
+                near = np.flatnonzero(norm - 2 * (dot + (s + 1e-4) * length) <= (r[x].max() + self.radius) ** 2)
+                near = near[self.cell[near] != cell[x[0]]]
+                if len(near):
+                    touch(x, near, np.maximum(norm[near] - 2 * (vectors[x] @ self.centre[near].T), 0))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pairs[:, 0], pairs[:, 1], reach
 
 
 def nearest_vectors(vectors: DataFrame, k: int, dimensions: int = DIMENSIONS, projections: int = PROJECTIONS, confidence: float = CONFIDENCE) -> DataFrame:
     """(vid, found array<struct<similarity, nid>>): up to k nearest other vectors, best first, of each distinct vector."""
     spark = vectors.sparkSession
     n = vectors.count()
-    fitted = spark.sparkContext.broadcast(_fit(vectors, n, dimensions, projections))
+    fit, cells = _fit(vectors, n, dimensions)
+    fitted = spark.sparkContext.broadcast(fit)
     g, factor = directions(dimensions, projections), chi_square_quantile(confidence, projections)
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = fitted.value
         for batch in batches:
-            leaf = f.tree.leaf_of(_matrix(batch["vector"], dimensions) @ g) if len(batch) else np.zeros(0, np.int64)
-            yield pd.DataFrame({"cell": f.cell[leaf], "vid": batch["vid"], "vector": batch["vector"]})
+            yield pd.DataFrame({"cell": fitted.value.cell_of(_matrix(batch["vector"], dimensions)), "vid": batch["vid"], "vector": batch["vector"]})
 
     placed = vectors.select("vid", "vector").mapInPandas(locate, "cell int, vid bigint, vector binary")
 
-    def cell_of(part: pd.DataFrame) -> tuple[Cell, pd.DataFrame]:
+    def cell_of(part: pd.DataFrame) -> Cell:
         part = part.drop_duplicates("vid")
         v = _matrix(part["vector"], dimensions)
-        return Cell(part["vid"].to_numpy(np.int64), v, v @ g), part
+        return Cell(part["vid"].to_numpy(np.int64), v, v @ g, k)
 
     def own(part: pd.DataFrame) -> pd.DataFrame:
-        f = fitted.value
+        cell = cell_of(part)
+        who, best, reach = cell.search(cell.vectors, cell.projected, np.full(len(cell.ids), -2.0, np.float32), k, factor, own=True)
         here = int(part["cell"].iloc[0])
-        cell, _ = cell_of(part)
-        who, best = cell.search(cell.ids, cell.vectors, cell.projected, np.full(len(cell.ids), -2.0, np.float32), k, factor)
-        worst = best.min(1)
-        radius = (2 - 2 * np.clip(worst, -1, 1)) * factor + 1e-6
-        near = np.flatnonzero(np.isfinite(f.low[:, 0]) & (f.cell != here))
-        if len(near) and len(cell.ids):
-            # only leaves that the cell's box can reach
-            gap = np.maximum(np.maximum(f.low[near] - cell.projected.max(0), cell.projected.min(0) - f.high[near]), 0)
-            near = near[(gap * gap).sum(1) <= radius.max()]
-        visits: list[list[int]] = [[] for _ in range(len(cell.ids))]
-        for start in range(0, len(cell.ids), 4096):
-            rows = slice(start, start + 4096)
-            touched = _box_distance(cell.projected[rows], f.low[near], f.high[near]) <= radius[rows, None]
-            for other in np.unique(f.cell[near]):
-                for i in np.flatnonzero(touched[:, f.cell[near] == other].any(1)):
-                    visits[start + i].append(int(other))
-        return pd.DataFrame(
-            {"vid": cell.ids, "vector": [x.tobytes() for x in cell.vectors], "worst": worst, "nids": _lists(who), "sims": _lists(best), "visits": _lists(visits)}
-        )
+        rows = pd.DataFrame({"cell": here, "leaf": cell.leaf, "vid": cell.ids, "vector": [x.tobytes() for x in cell.vectors], "worst": reach, "nids": _lists(who), "sims": _lists(best), "leaves": None})
+        about = np.concatenate([cell.centre, cell.radius[:, None], cell.inner[:, None], cell.count[:, None], cell.low, cell.high], axis=1)
+        return pd.concat([rows, pd.DataFrame({"cell": [here], "leaf": -1, "vid": 0, "vector": None, "worst": np.float32(0), "nids": None, "sims": None, "leaves": [about.astype(np.float32).tobytes()]})])
 
     # every cell is a task of its own
-    first = placed.repartitionById(int(fitted.value.cell.max(initial=0)) + 1, "cell").groupBy("cell").applyInPandas(own, "vid bigint, vector binary, worst float, nids array<bigint>, sims array<float>, visits array<int>")
+    first = placed.repartitionById(cells, "cell").groupBy("cell").applyInPandas(own, "cell int, leaf int, vid bigint, vector binary, worst float, nids array<bigint>, sims array<float>, leaves binary")
     first = stored(first, "own-cell")
-    guests = first.select(F.explode("visits").alias("cell"), "vid", "vector", "worst")
-    # a cell with very many guests is searched in several tasks, each with a copy of the cell
-    crowd = guests.groupBy("cell").count().collect()  # a row per cell
-    parts = {r["cell"]: -(-r["count"] // (2 * CELL_ROWS)) for r in crowd if r["count"] > 2 * CELL_ROWS}
-    if crowd:
+    rows = first.filter("leaves is null")
+    both = rows.select("vid", "nids", "sims")
+    if cells > 1:
+        told = sorted(first.filter("leaves is not null").select("cell", "leaves").collect(), key=lambda r: r["cell"])  # a row per cell
+        width = dimensions + 3 + 2 * projections
+        about = [np.frombuffer(bytes(r["leaves"]), np.float32).reshape(-1, width) for r in told]
+        of = np.repeat([r["cell"] for r in told], [len(a) for a in about])
+        d = dimensions
+        about = np.concatenate(about) if about else np.zeros((0, width), np.float32)
+        known = spark.sparkContext.broadcast(_Leaves(of, np.ascontiguousarray(about[:, :d]), about[:, d].copy(), about[:, d + 1].copy(), about[:, d + 2].copy(), about[:, d + 3 : d + 3 + projections].copy(), about[:, d + 3 + projections :].copy()))
+
+        def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                v = _matrix(batch["vector"], dimensions)
+                i, to, reach = known.value.touched(batch["cell"].to_numpy(), batch["leaf"].to_numpy(), v, v @ g, batch["worst"].to_numpy(np.float32), k, factor)
+                at, start = np.unique(i, return_index=True)
+                yield pd.DataFrame({"vid": batch["vid"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at], "worst": reach[at], "visits": _lists(np.split(to, start[1:]) if len(at) else [])})
+
+        going = stored(rows.select("cell", "leaf", "vid", "vector", "worst").mapInPandas(visits, "vid bigint, vector binary, worst float, visits array<int>"), "visits")
+        guests = going.select(F.explode("visits").alias("cell"), "vid", "vector", "worst")
+        # a cell with very many guests is searched in several tasks, each with a copy of the cell
+        crowd = going.select(F.explode("visits").alias("cell")).groupBy("cell").count().collect()  # a row per cell
+        parts = {r["cell"]: -(-r["count"] // (4 * CELL_ROWS)) for r in crowd if r["count"] > 4 * CELL_ROWS}
         shares = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("cell")], F.lit(1)) if parts else F.lit(1)
         guests = guests.withColumn("part", F.pmod(F.xxhash64("vid"), shares).cast("int"))
-        hosts = placed.withColumn("part", F.explode(F.sequence(F.lit(0), shares - 1)))
+        hosts = rows.select("cell", "vid", "vector").withColumn("part", F.explode(F.sequence(F.lit(0), shares - 1)))
 
         def visit(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
             if not len(host) or not len(guest):
                 return pd.DataFrame({"vid": np.zeros(0, np.int64), "nids": _lists([]), "sims": _lists([])})
-            cell, _ = cell_of(host)
             v = _matrix(guest["vector"], dimensions)
-            who, best = cell.search(guest["vid"].to_numpy(np.int64), v, v @ g, guest["worst"].to_numpy(np.float32), k, factor)
+            who, best, _ = cell_of(host).search(v, v @ g, guest["worst"].to_numpy(np.float32), k, factor)
             hit = best.max(1) > -2
             return pd.DataFrame({"vid": guest["vid"].to_numpy()[hit], "nids": _lists(who[hit]), "sims": _lists(best[hit])})
 
         second = hosts.groupBy("cell", "part").cogroup(guests.groupBy("cell", "part")).applyInPandas(visit, "vid bigint, nids array<bigint>, sims array<float>")
-        both = first.select("vid", "nids", "sims").unionByName(second)
-    else:
-        both = first.select("vid", "nids", "sims")
-    merged = both.groupBy("vid").agg(F.flatten(F.collect_list(F.expr("filter(arrays_zip(sims, nids), x -> x.nids >= 0 or x.sims > -2)"))).alias("x"))
+        both = both.unionByName(second)
+    merged = both.groupBy("vid").agg(F.flatten(F.collect_list(F.expr("filter(arrays_zip(sims, nids), x -> x.nids <> vid and x.sims > -2)"))).alias("x"))
     ranked = F.array_sort("x", lambda p, q: F.when(p["sims"] > q["sims"], -1).when(p["sims"] < q["sims"], 1).when(p["nids"] < q["nids"], -1).when(p["nids"] > q["nids"], 1).otherwise(0))
     return merged.withColumn("x", ranked).select(
         "vid", F.expr(f"transform(slice(array_distinct(x), 1, {k}), y -> struct(y.sims as similarity, y.nids as nid))").alias("found")

@@ -121,6 +121,27 @@ def test_neighbours_against_brute_force(spark):
     assert sum(len(got[i] & want[i]) for i in want) >= 0.95 * 5 * len(want)
 
 
+def test_few_vectors_leave_their_cell(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [900, *[60] * 50]  # one group is larger than a cell
+    v = np.concatenate([c + 0.35 * rng.standard_normal((m, 64)) for c, m in zip(rng.standard_normal((len(sizes), 64)), sizes)])
+    rows = [(f"c{i:04}", x.astype("float32").tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    tables = []
+    whole = N.stored
+    monkeypatch.setattr(N, "stored", lambda t, name: tables.append(whole(t, name)) or tables[-1])
+    for name, value in {"CELL_ROWS": 500, "FEWEST_ROWS": 500}.items():
+        monkeypatch.setattr(N, name, value)
+    got = {}
+    for r in N.similar_rows(df).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour)
+    want = brute_neighbours(rows, 5)
+    assert sum(len(got[i] & want[i]) for i in want) >= 0.99 * 5 * len(want)
+    gone = [r for t in tables if "visits" in t.columns for r in t.select("visits").collect()]
+    small = sum(len(r.visits) for r in gone) - 900 * 7  # of the large group each may visit all others
+    assert small < 0.2 * len(rows)
+
+
 def test_equal_vectors_and_few_rows(spark):
     v = [1.0] + [0.0] * 63
     w = [0.0, 1.0] + [0.0] * 62
