@@ -208,7 +208,7 @@ class Cell:
             self.low, self.high = np.minimum.reduceat(self.projected, start, axis=0), np.maximum.reduceat(self.projected, start, axis=0)
 
     def search(self, vectors: np.ndarray, projected: np.ndarray, worst: np.ndarray, k: int, factor: float, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids and similarities of up to k vectors better than ``worst``, others marked -2, and what the k-th has at least.
+        """The ids and similarities of up to k vectors better than ``worst``, others marked -2, and the similarity of the k-th.
 
         ``factor`` is the chi-square quantile of the stopping test; ``own``: the vectors are those of the cell, in its order.
         """
@@ -250,8 +250,8 @@ class Cell:
             for leaf in np.unique(homes):
                 look(q[homes == leaf], leaf)
             far = np.maximum(norm - 2 * (vectors[q] @ self.centre.T), 0)
-            reach[q] = np.maximum(reach[q], _reach_of(far, self.inner, self.count, k))
-            r = _distance(reach[q])
+            sure = np.maximum(reach[q], _reach_of(far, self.inner, self.count, k))
+            r = _distance(sure)
             rows, leaves = np.nonzero(far <= (r[:, None] + self.radius) ** 2)
             other = leaves != homes[rows]
             rows, leaves = rows[other], leaves[other]
@@ -259,14 +259,13 @@ class Cell:
                 continue
             gap = np.maximum(np.maximum(self.low[leaves] - projected[q[rows]], projected[q[rows]] - self.high[leaves]), 0)
             gap = (gap * gap).sum(1)
-            keep = gap <= r[rows] ** 2 * factor
+            keep = gap <= _distance(reach[q])[rows] ** 2 * factor  # the test needs neighbours that were found
             rows, leaves, gap = rows[keep], leaves[keep], gap[keep]
             by_leaf = np.argsort(leaves, kind="stable")
             parts = np.split(by_leaf, np.flatnonzero(np.diff(leaves[by_leaf])) + 1) if len(by_leaf) else []
             for part in sorted(parts, key=lambda x: gap[x].min()):
                 x, leaf = rows[part], leaves[part[0]]
-                r = _distance(reach[q[x]])
-                still = (gap[part] <= r * r * factor) & (far[x, leaf] <= (r + self.radius[leaf]) ** 2)
+                still = (gap[part] <= _distance(reach[q[x]]) ** 2 * factor) & (far[x, leaf] <= (_distance(np.maximum(sure[x], reach[q[x]])) + self.radius[leaf]) ** 2)
                 if still.any():
                     look(q[x[still]], leaf)
         who[best <= -2] = -1
@@ -423,10 +422,10 @@ class _Leaves(NamedTuple):
     low: np.ndarray
     high: np.ndarray
 
-    def touched(self, cell: np.ndarray, leaf: np.ndarray, vectors: np.ndarray, projected: np.ndarray, reach: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell) for each other cell with a leaf that a row's ball touches, and the reach of the rows; rows of a leaf come together."""
-        reach = reach.copy()
+    def touched(self, cell: np.ndarray, leaf: np.ndarray, vectors: np.ndarray, projected: np.ndarray, reach: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for each other cell with a leaf that a row's ball touches; rows of a leaf come together."""
         r = _distance(reach)
+        ball = r**2 * factor  # in the projections
         norm, length = 1 + (self.centre * self.centre).sum(1), np.sqrt((self.centre * self.centre).sum(1))
         found: list[np.ndarray] = []
 
@@ -436,7 +435,7 @@ class _Leaves(NamedTuple):
             away = self.cell[j] != cell[i]
             i, j = i[away], j[away]
             gap = np.maximum(np.maximum(self.low[j] - projected[i], projected[i] - self.high[j]), 0)
-            keep = (gap * gap).sum(1) <= r[i] ** 2 * factor
+            keep = (gap * gap).sum(1) <= ball[i]
             found.append(np.stack([i[keep], self.cell[j[keep]]], 1))
 
         # rows that are far from their own neighbours are held against every leaf, the others against those that their leaf may touch
@@ -447,8 +446,7 @@ class _Leaves(NamedTuple):
         for i in range(0, len(alone), step):
             rows = alone[i : i + step]
             far = np.maximum(norm - 2 * (vectors[rows] @ self.centre.T), 0)
-            reach[rows] = np.maximum(reach[rows], _reach_of(far, self.inner, self.count, k))
-            r[rows] = _distance(reach[rows])
+            r[rows] = _distance(np.maximum(reach[rows], _reach_of(far, self.inner, self.count, k)))
             touch(rows, every, far)
         close = np.flatnonzero(~wide)
         runs = np.split(close, np.flatnonzero((np.diff(cell[close]) != 0) | (np.diff(leaf[close]) != 0)) + 1) if len(close) else []
@@ -466,7 +464,7 @@ class _Leaves(NamedTuple):
                 if len(near):
                     touch(x, near, np.maximum(norm[near] - 2 * (vectors[x] @ self.centre[near].T), 0))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pairs[:, 0], pairs[:, 1], reach
+        return pairs[:, 0], pairs[:, 1]
 
 
 def nearest_vectors(vectors: DataFrame, k: int, dimensions: int = DIMENSIONS, projections: int = PROJECTIONS, confidence: float = CONFIDENCE) -> DataFrame:
@@ -515,9 +513,9 @@ def nearest_vectors(vectors: DataFrame, k: int, dimensions: int = DIMENSIONS, pr
                 if not len(batch):
                     continue
                 v = _matrix(batch["vector"], dimensions)
-                i, to, reach = known.value.touched(batch["cell"].to_numpy(), batch["leaf"].to_numpy(), v, v @ g, batch["worst"].to_numpy(np.float32), k, factor)
+                i, to = known.value.touched(batch["cell"].to_numpy(), batch["leaf"].to_numpy(), v, v @ g, batch["worst"].to_numpy(np.float32), k, factor)
                 at, start = np.unique(i, return_index=True)
-                yield pd.DataFrame({"vid": batch["vid"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at], "worst": reach[at], "visits": _lists(np.split(to, start[1:]) if len(at) else [])})
+                yield pd.DataFrame({"vid": batch["vid"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at], "worst": batch["worst"].to_numpy()[at], "visits": _lists(np.split(to, start[1:]) if len(at) else [])})
 
         going = stored(rows.select("cell", "leaf", "vid", "vector", "worst").mapInPandas(visits, "vid bigint, vector binary, worst float, visits array<int>"), "visits")
         guests = going.select(F.explode("visits").alias("cell"), "vid", "vector", "worst")
